@@ -1,6 +1,8 @@
 from cartwise.functions.expr import (  # noqa: F401
     cosine,
     dot,
+    exact_avg,
+    exact_sum,
     l2norm,
     minmax,
     pct_change,

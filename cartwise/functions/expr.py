@@ -35,6 +35,20 @@ def unit_hash(*keys, seed: int | str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / _TWO_32
 
 
+def exact_sum(x, scale: int = 4) -> Column:
+    """Sum of a money column in exact DECIMAL, returned as double.
+
+    The result does not depend on partitioning, task order or retries
+    (a double sum does), so reruns and engines agree bit for bit.
+    """
+    return F.sum(_c(x).cast(f"decimal(18,{scale})")).cast("double")
+
+
+def exact_avg(x, scale: int = 4) -> Column:
+    """exact_sum / count of non-NULL values; NULL for no values."""
+    return F.try_divide(exact_sum(x, scale), F.count(_c(x)).cast("double"))
+
+
 def pct_change(new, base) -> Column:
     """100 * (new - base) / base; NULL when base is 0 (no division error)."""
     return F.try_divide(_c(new) - _c(base), _c(base)) * 100.0

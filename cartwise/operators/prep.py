@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.functions.expr import exact_avg, exact_sum
 from cartwise.operators.sampling import hash_sample
 
 PRODUCT_COLUMNS = ["product_id", "product_name", "aisle_id", "department_id", "aisle", "department"]
@@ -85,8 +86,8 @@ def user_stats(lines: DataFrame) -> DataFrame:
     return lines.groupBy("user_id").agg(
         F.count("product_id").alias("average_basket_size"),
         F.max("order_number").alias("purchase_frequency"),
-        F.avg("price").alias("user_avg_order_value"),
-        F.sum("price").alias("user_total_spent"),
+        exact_avg("price").alias("user_avg_order_value"),
+        exact_sum("price").alias("user_total_spent"),
     )
 
 
@@ -94,7 +95,7 @@ def product_stats(lines: DataFrame) -> DataFrame:
     """Per product (F5, F6): mean reordered flag and summed price."""
     return lines.groupBy("product_id").agg(
         F.avg("reordered").alias("product_reorder_rate"),
-        F.sum("price").alias("product_revenue_contribution"),
+        exact_sum("price").alias("product_revenue_contribution"),
     )
 
 
@@ -113,9 +114,15 @@ def add_base_features(merged: DataFrame) -> DataFrame:
     return out.withColumn("order_recency", F.col("purchase_frequency") - F.col("order_number"))
 
 
-def preprocess(tables: dict[str, DataFrame], fraction: float = 0.02, seed: int = 42):
-    """(sampled lines, all feature lines, products)."""
+def preprocess(tables: dict[str, DataFrame], fraction: float = 0.02, seed: int = 42, materialize=None):
+    """(sampled lines, all feature lines, products).
+
+    ``materialize`` (e.g. ``cartwise.session.materialize``) is applied to the
+    merged lines, which four aggregates and the median read.
+    """
     merged, prods = merge_all(tables)
+    if materialize is not None:
+        merged = materialize(merged, "merged")
     feats = add_base_features(impute_missing(merged))
     sampled = hash_sample(feats, fraction, ["order_id", "product_id"], seed=seed)
     return sampled, feats, prods

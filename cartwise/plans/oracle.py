@@ -22,6 +22,16 @@ def _dept_case(col: str) -> str:
     return f"CAST(CASE {col} {whens} END AS INTEGER)"
 
 
+def _xsum(col: str) -> str:
+    """SQL twin of ``exact_sum``."""
+    return f"CAST(sum(CAST({col} AS DECIMAL(18,4))) AS DOUBLE)"
+
+
+def _xavg(col: str) -> str:
+    """SQL twin of ``exact_avg``."""
+    return f"({_xsum(col)} / CAST(count({col}) AS DOUBLE))"
+
+
 _PRELUDE = f"""
 r_products AS (
   SELECT CAST(p_partkey AS BIGINT) AS product_id, p_name AS product_name,
@@ -85,10 +95,10 @@ r_imputed AS (
   FROM r_merged),
 r_user_stats AS (
   SELECT user_id, count(product_id) AS average_basket_size, max(order_number) AS purchase_frequency,
-         avg(price) AS user_avg_order_value, sum(price) AS user_total_spent
+         {_xavg('price')} AS user_avg_order_value, {_xsum('price')} AS user_total_spent
   FROM r_imputed GROUP BY user_id),
 r_product_stats AS (
-  SELECT product_id, avg(reordered) AS product_reorder_rate, sum(price) AS product_revenue_contribution
+  SELECT product_id, avg(reordered) AS product_reorder_rate, {_xsum('price')} AS product_revenue_contribution
   FROM r_imputed GROUP BY product_id),
 r_up_stats AS (
   SELECT user_id, product_id, max(order_number) AS product_last_ordered FROM r_imputed GROUP BY 1, 2),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartwise.operators import prep, sampling
 from cartwise.plans.oracle import h, round_cols, sql
 from cartwise.plans.registry import register
+from cartwise.session import materialize
 from cartwise.sources import files, testdata
 
 MERGED_DOUBLES = ["days_since_prior_order", "price"]
@@ -20,11 +21,16 @@ def tables(spark, sf_dir):
 
 
 def merged(spark, sf_dir):
-    return prep.merge_all(tables(spark, sf_dir))[0]
+    """Merged order lines, materialised: several aggregates fan out from it."""
+    return materialize(prep.merge_all(tables(spark, sf_dir))[0], "merged")
+
+
+def imputed(spark, sf_dir):
+    return prep.impute_missing(merged(spark, sf_dir))
 
 
 def features(spark, sf_dir):
-    return prep.add_base_features(prep.impute_missing(merged(spark, sf_dir)))
+    return prep.add_base_features(imputed(spark, sf_dir))
 
 
 _RETAIL = ["aisles", "departments", "products", "orders", "order_products_prior", "order_products_train",
@@ -77,19 +83,19 @@ def q_missing_profile(spark, sf_dir):
 
 @register("impute_missing", sql(round_cols("SELECT * FROM r_imputed", MERGED_DOUBLES)))
 def q_impute_missing(spark, sf_dir):
-    return prep.impute_missing(merged(spark, sf_dir))
+    return imputed(spark, sf_dir)
 
 
 @register("user_features", sql(round_cols("SELECT * FROM r_user_stats",
                                           ["user_avg_order_value", "user_total_spent"])))
 def q_user_features(spark, sf_dir):
-    return prep.user_stats(prep.impute_missing(merged(spark, sf_dir)))
+    return prep.user_stats(imputed(spark, sf_dir))
 
 
 @register("product_line_features", sql(round_cols("SELECT * FROM r_product_stats",
                                                   ["product_reorder_rate", "product_revenue_contribution"])))
 def q_product_line_features(spark, sf_dir):
-    return prep.product_stats(prep.impute_missing(merged(spark, sf_dir)))
+    return prep.product_stats(imputed(spark, sf_dir))
 
 
 @register("recency_features", sql("""

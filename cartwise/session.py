@@ -47,3 +47,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     else:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     return sc.getCheckpointDir()
+
+
+def materialize(df, label: str = "stage"):
+    """Write ``df`` as parquet into the reliable checkpoint folder and read it back.
+
+    Used by the plans layer at stage boundaries that several consumers read
+    (merged lines, edges, metrics): the work runs once, lineage is cut, a lost
+    executor does not force recomputation, and later scans get column pruning.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cartwise-stage/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
