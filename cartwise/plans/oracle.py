@@ -124,3 +124,8 @@ def round_cols(inner: str, cols: list[str], digits: int = 6) -> str:
         return inner
     rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({inner.strip()}) AS _q"
+
+
+def r2(expr: str) -> str:
+    """SQL twin of ``round2``: rint(x * 100) / 100 on the double value."""
+    return f"(round_even(({expr}) * 100.0::DOUBLE, 0) / 100.0::DOUBLE)"
