@@ -195,3 +195,62 @@ def load_retail(spark: SparkSession, sf_dir: str, materialize: bool = True) -> d
     out["order_products_train"] = lines.where(F.col("is_train")).select(*cols)
     _MEMO[key] = out
     return out
+
+
+# ---- reply tables for the enrichment jobs, derived from the part table ----
+# Reply line variants, chosen by product_id % 5:
+#   0 "N. $1,234.50" (thousands comma)   1 "N. n/a" (text)   2 "1234.5" (no "N." prefix)
+#   3 "N. 1234.5"                         4 "N. $1234.5"
+# and every batch with batch_id % 7 == 3 misses its last line.
+
+
+def price_replies(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
+    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_retailprice").alias("rp"))
+    m = members.join(p, "product_id")
+    v = F.col("product_id") % 5
+    pos = F.col("pos").cast("string")
+    rp = F.col("rp").cast("string")
+    line = (
+        F.when(v == 0, F.concat(pos, F.lit(". $"), F.format_number("rp", 2)))
+        .when(v == 1, F.concat(pos, F.lit(". n/a")))
+        .when(v == 2, rp)
+        .when(v == 3, F.concat(pos, F.lit(". "), rp))
+        .otherwise(F.concat(pos, F.lit(". $"), rp))
+    )
+    last = F.max("pos").over(Window.partitionBy("batch_id"))
+    m = m.withColumn("line", line).withColumn("_last", last)
+    m = m.where(~((F.col("batch_id") % 7 == 3) & (F.col("pos") == F.col("_last"))))
+    return m.groupBy("batch_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]),
+                     "\n").alias("reply")
+    )
+
+
+def category_replies(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
+    """Category = lower-case type word + '_' + brand number; batch % 5 == 1 gets one extra part,
+    batch % 5 == 2 misses its last part."""
+    p = _read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("product_id"),
+        F.concat(F.lower("p_type"), F.lit("_"), F.substring("p_brand", 7, 10)).alias("cat"),
+    )
+    m = members.join(p, "product_id")
+    items = m.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("pos", "cat"))).alias("items"))
+    cats = F.transform("items", lambda x: x["cat"])
+    cats = (
+        F.when(F.col("batch_id") % 5 == 1, F.concat(cats, F.array(F.lit("extra_category"))))
+        .when(F.col("batch_id") % 5 == 2, F.slice(cats, 1, F.greatest(F.size(cats) - 1, F.lit(0))))
+        .otherwise(cats)
+    )
+    return items.select("batch_id", F.array_join(cats, ", ").alias("reply"))
+
+
+def attribute_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of the attribute table; parts without attributes get a broken reply."""
+    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("product_id"))
+    a = product_attributes(spark, sf_dir)
+    j = F.to_json(F.struct("premium_score", "necessity_score", "impulse_score", "cross_sell_score", "is_food",
+                           "price"))
+    return p.join(a, "product_id", "left").select(
+        "product_id",
+        F.when(F.col("premium_score").isNotNull(), j).otherwise(F.lit('{"premium_score": ')).alias("reply"),
+    )
