@@ -147,7 +147,7 @@ def betweenness(
     edges: DataFrame,
     k: int | None = 1000,
     seed: int = SEED,
-    source_batch: int = 250,
+    source_batch: int = 1000,
     normalized: bool = True,
 ) -> DataFrame:
     """Sampled shortest-path betweenness of an unweighted undirected graph (K3).
