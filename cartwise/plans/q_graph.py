@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from cartwise.operators import expansion, graph, pairs
 from cartwise.plans.oracle import _xavg, round_cols, sql
 from cartwise.plans.q_prep import imputed, merged
-from cartwise.session import materialize
-from cartwise.plans.registry import register
+from cartwise.plans.registry import register, stage
 
 # Fixed value used by the checked queries: at the test scales support 5 leaves
 # (almost) no pair, support 2 leaves thousands (see FIXTURES.md).
@@ -26,7 +25,7 @@ def freq_pairs(spark, sf_dir, mode="directed"):
 
 def edges(spark, sf_dir):
     """Symmetric edges, materialised: every graph measure reads them."""
-    return materialize(graph.edges_from_pairs(freq_pairs(spark, sf_dir)), "edges")
+    return stage("edges", spark, sf_dir, lambda: graph.edges_from_pairs(freq_pairs(spark, sf_dir)))
 
 
 PAIR_CTES = f"""
@@ -216,8 +215,8 @@ def lines_for_expansion(spark, sf_dir):
 
 def metrics(spark, sf_dir):
     """Basket metrics per product, materialised (normalisation reads them twice)."""
-    m = expansion.basket_metrics(lines_for_expansion(spark, sf_dir), edges(spark, sf_dir))
-    return materialize(m, "basket-metrics")
+    return stage("basket-metrics", spark, sf_dir,
+                 lambda: expansion.basket_metrics(lines_for_expansion(spark, sf_dir), edges(spark, sf_dir)))
 
 
 def scored(spark, sf_dir):

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from cartwise.operators import prep, sampling
 from cartwise.plans.oracle import h, round_cols, sql
-from cartwise.plans.registry import register
-from cartwise.session import materialize
+from cartwise.plans.registry import register, stage
 from cartwise.sources import files, testdata
 
 MERGED_DOUBLES = ["days_since_prior_order", "price"]
@@ -22,7 +21,7 @@ def tables(spark, sf_dir):
 
 def merged(spark, sf_dir):
     """Merged order lines, materialised: several aggregates fan out from it."""
-    return materialize(prep.merge_all(tables(spark, sf_dir))[0], "merged")
+    return stage("merged", spark, sf_dir, lambda: prep.merge_all(tables(spark, sf_dir))[0])
 
 
 def imputed(spark, sf_dir):

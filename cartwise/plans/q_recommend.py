@@ -9,7 +9,7 @@ from cartwise.operators import recommend, sampling
 from cartwise.plans.oracle import h, round_cols, sql
 from cartwise.plans.q_graph import EXP_CTES, edges, merged, scored
 from cartwise.plans.q_prep import imputed
-from cartwise.plans.registry import register
+from cartwise.plans.registry import register, stage
 from cartwise.session import materialize
 
 TOP_N = 5
@@ -17,7 +17,8 @@ TOP_K = 1000
 
 
 def product_feats(spark, sf_dir):
-    return materialize(recommend.product_features(imputed(spark, sf_dir), scored(spark, sf_dir)), "product-feats")
+    return stage("product-feats", spark, sf_dir,
+                 lambda: recommend.product_features(imputed(spark, sf_dir), scored(spark, sf_dir)))
 
 
 def order_baskets(spark, sf_dir):
@@ -127,7 +128,7 @@ REV_COLS = ["precision", "total_revenue", "avg_revenue_per_rec", "avg_basket_exp
 
 
 def hybrid(spark, sf_dir):
-    return materialize(recommend.hybrid_scores(scored_rows(spark, sf_dir)), "hybrid")
+    return stage("hybrid", spark, sf_dir, lambda: recommend.hybrid_scores(scored_rows(spark, sf_dir)))
 
 
 @register("hybrid_scores", sql(round_cols("SELECT * FROM r_hyb",
@@ -135,7 +136,7 @@ def hybrid(spark, sf_dir):
                                            "cross_sell_strength", "hybrid_score"]), HYB_CTES))
 def q_hybrid_scores(spark, sf_dir):
     """J11 + N3 over the test split."""
-    return recommend.hybrid_scores(scored_rows(spark, sf_dir))
+    return hybrid(spark, sf_dir)
 
 
 def revenue_rows(spark, sf_dir):

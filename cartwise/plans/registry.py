@@ -10,6 +10,22 @@ from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+# Stage results of the query being built: each stage is materialised once per
+# query call and shared by all of its consumers inside that query.
+_SCOPE: list[dict] = []
+
+
+def stage(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Materialise ``build()`` once per query call (see ``cartwise.session.materialize``)."""
+    from cartwise.session import materialize
+
+    key = (name, id(spark), sf_dir)
+    if _SCOPE and key in _SCOPE[-1]:
+        return _SCOPE[-1][key]
+    df = materialize(build(), name)
+    if _SCOPE:
+        _SCOPE[-1][key] = df
+    return df
 
 
 def register(name: str, oracle: str | None = None):
@@ -21,7 +37,11 @@ def register(name: str, oracle: str | None = None):
 
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_doubles(fn(spark, sf_dir))
+            _SCOPE.append({})
+            try:
+                return round_doubles(fn(spark, sf_dir))
+            finally:
+                _SCOPE.pop()
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
