@@ -2,7 +2,9 @@
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_REPEAT (default 1; the median is reported), BENCH_DUCKDB (default 1:
-also time the DuckDB oracle of each query on the same files for reference).
+also time the DuckDB oracle of each query on the same files for reference),
+BENCH_PIPELINE (default 1: also time the end-to-end pipeline, reported as
+``pipeline_sec`` with per-step times; not part of ``value``).
 Each query is executed in full with the ``noop`` sink (no collect).
 The one-off derivation of the retail tables from the driver's files is timed
 separately as ``adapter_sec`` (it stands for the input files a deployment has).
@@ -65,6 +67,21 @@ def main() -> None:
             times[name] = round(statistics.median(runs), 3)
         except Exception as e:  # noqa: BLE001
             errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    pipeline = {}
+    if os.environ.get("BENCH_PIPELINE", "1") == "1":
+        import tempfile
+
+        from cartwise.plans.pipeline import run_pipeline
+
+        t = time.time()
+        try:
+            res = run_pipeline(spark, testdata.load_retail(spark, sf_dir),
+                               out_dir=tempfile.mkdtemp(prefix="cartwise-bench-pipe-"), min_support=2,
+                               gbt_params={"maxIter": 50, "maxDepth": 6})
+            pipeline = {"pipeline_sec": round(time.time() - t, 3), "pipeline_steps": res["timings"],
+                        "pipeline_settings": "all orders mined, support 2, betweenness k=1000, GBT 50 rounds depth 6"}
+        except Exception as e:  # noqa: BLE001
+            pipeline = {"pipeline_error": f"{type(e).__name__}: {str(e)[:200]}"}
     spark.stop()
 
     duck = {}
@@ -93,6 +110,7 @@ def main() -> None:
         "adapter_sec": round(adapter, 3),
         "duckdb_oracle_sec": duck,
     }
+    out.update(pipeline)
     if errors:
         out["errors"] = errors
     print(json.dumps(out))
