@@ -67,3 +67,11 @@ def test_strength_is_mean_neighbour_weight(spark):
     e = _edges(spark, [(1, 2, 4), (1, 3, 6)])
     s = {r.product_id: r.cross_sell_strength for r in graph.cross_sell_strength(e).collect()}
     assert s == {1: 5.0, 2: 4.0, 3: 6.0}
+
+
+def test_hot_order_block_split_equals_plain(spark):
+    baskets = [list(range(1, 41))] + [[1, 2, 3], [2, 3, 4], [5, 6]] * 3
+    lines = _lines(spark, baskets)
+    plain = {tuple(r) for r in pairs.basket_pairs(lines, hot_order_size=None).collect()}
+    split = {tuple(r) for r in pairs.basket_pairs(lines, hot_order_size=10, blocks=4).collect()}
+    assert plain == split and len(plain) == 40 * 39 // 2 + 3 * 3 + 3 * 3 + 3 * 1
