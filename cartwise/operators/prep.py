@@ -106,11 +106,12 @@ def user_product_stats(lines: DataFrame) -> DataFrame:
 
 def add_base_features(merged: DataFrame) -> DataFrame:
     """User, product and recency features (F1-F8) on every line."""
-    out = (
-        merged.join(user_stats(merged), "user_id")
-        .join(product_stats(merged), "product_id")
-        .join(user_product_stats(merged), ["user_id", "product_id"])
-    )
+    # User statistics ride on the (user, product) table (narrow, one row per
+    # distinct pair), so the wide line table meets both in a single shuffle on
+    # (user_id, product_id) and a second one on product_id: two shuffles of
+    # the wide rows instead of three.
+    per_pair = user_product_stats(merged).join(user_stats(merged), "user_id")
+    out = merged.join(per_pair, ["user_id", "product_id"]).join(product_stats(merged), "product_id")
     return out.withColumn("order_recency", F.col("purchase_frequency") - F.col("order_number"))
 
 
