@@ -55,11 +55,15 @@ def pending(items: DataFrame, done: DataFrame | None, key: str = "product_id") -
 def number_rows(df: DataFrame, key: str = "product_id") -> DataFrame:
     """Adds ``rn`` = 1-based rank of a unique integer ``key``, without a global window.
 
-    Rows fall into fixed key ranges of 65536; range sizes are prefix-summed
-    over the (small) table of ranges, and each range numbers its own rows
-    with a window partitioned by range.
+    Keys fall into at most 65537 fixed ranges (width = max(65536, span / 65536),
+    from one min/max scalar); range sizes are prefix-summed over that bounded
+    table, and each range numbers its own rows with a window partitioned by
+    range.  Dense ids give at most 65536 rows per range.
     """
-    b = df.withColumn("_bk", F.floor(F.col(key) / _ID_BUCKET))
+    b = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi")).alias("b")).scalar()
+    lo = b.getField("lo")
+    width = F.greatest(F.lit(_ID_BUCKET), F.ceil((b.getField("hi") - lo + 1) / _ID_BUCKET))
+    b = df.withColumn("_bk", F.floor((F.col(key) - lo) / width))
     sizes = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.select(
         "_bk",
