@@ -67,8 +67,18 @@ def cross_sell_strength(edges: DataFrame) -> DataFrame:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint that computes the plan once.
+
+    ``checkpoint()`` counts and then writes; persisting first lets the write
+    read the cached blocks instead of running the plan a second time.
+    """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
 
 
 def pagerank(
