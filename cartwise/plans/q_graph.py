@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from cartwise.operators import expansion, graph, pairs
 from cartwise.plans.oracle import _xavg, round_cols, sql

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from cartwise.operators import prep, sampling
 from cartwise.plans.oracle import h, round_cols, sql
