@@ -33,7 +33,7 @@ def sampled(spark, sf_dir):
 
 def enhanced(spark, sf_dir):
     """Sample ⟕ category ⟕ similarity ⟕ centrality ⟕ basket metrics; graph-side NULL -> 0."""
-    key = ("enhanced", id(spark), sf_dir)
+    key = ("enhanced", spark.sparkContext.applicationId, sf_dir)
     if key in _MEMO:
         return _MEMO[key]
     members, _ = category_members(spark, sf_dir)
@@ -110,7 +110,7 @@ def q_smote_neighbors(spark, sf_dir):
 
 
 def balanced(spark, sf_dir, feats):
-    key = ("balanced", id(spark), sf_dir, tuple(feats))
+    key = ("balanced", spark.sparkContext.applicationId, sf_dir, tuple(feats))
     if key not in _MEMO:
         m = training.training_matrix(enhanced(spark, sf_dir), feats).withColumn(
             "row_id", F.xxhash64("order_id", "product_id"))
@@ -126,7 +126,7 @@ def q_smote_balance(spark, sf_dir):
 
 
 def fitted(spark, sf_dir, which):
-    key = ("gbt", which, id(spark), sf_dir)
+    key = ("gbt", which, spark.sparkContext.applicationId, sf_dir)
     if key not in _MEMO:
         feats = training.BASE_FEATURES if which == "base" else training.BASE_FEATURES + training.ENHANCED_FEATURES
         data = balanced(spark, sf_dir, feats)

@@ -19,7 +19,7 @@ def stage(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataF
     """Materialise ``build()`` once per query call (see ``cartwise.session.materialize``)."""
     from cartwise.session import materialize
 
-    key = (name, id(spark), sf_dir)
+    key = (name, spark.sparkContext.applicationId, sf_dir)
     if _SCOPE and key in _SCOPE[-1]:
         return _SCOPE[-1][key]
     df = materialize(build(), name)

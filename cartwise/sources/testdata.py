@@ -169,7 +169,7 @@ def load_retail(spark: SparkSession, sf_dir: str, materialize: bool = True) -> d
     """
     if not materialize:
         return retail_plans(spark, sf_dir)
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key in _MEMO:
         return _MEMO[key]
     from cartwise.session import ensure_checkpoint_dir
