@@ -142,7 +142,24 @@ def q_pagerank(spark, sf_dir):
     return pr.select("product_id", "pagerank")
 
 
-@register("pagerank_converged")
+def _pr_converged_sql(rounds: int = 50, tol: str = "1e-6") -> str:
+    errs = " UNION ALL ".join(
+        f"SELECT {i} AS it, sum(abs(a.rank - b.rank)) AS err FROM r_pr{i} a JOIN r_pr{i - 1} b ON a.node = b.node"
+        for i in range(1, rounds + 1))
+    ranks = " UNION ALL ".join(f"SELECT {i} AS it, node, rank FROM r_pr{i}" for i in range(1, rounds + 1))
+    ctes = (PAIR_CTES + ",\n" + _pr_ctes(rounds) + f""",
+r_prerr AS ({errs}),
+r_prstop AS (
+  SELECT CAST(coalesce(min(it) FILTER (WHERE err < (SELECT n FROM r_nn) * {tol}), {rounds}) AS INTEGER) AS it,
+         coalesce(bool_or(err < (SELECT n FROM r_nn) * {tol}), false) AS conv
+  FROM r_prerr),
+r_prall AS ({ranks})""")
+    body = """SELECT a.node AS product_id, a.rank AS pagerank, s.it AS iterations, s.conv AS converged
+FROM r_prall a JOIN r_prstop s ON a.it = s.it"""
+    return sql(round_cols(body, ["pagerank"]), ctes)
+
+
+@register("pagerank_converged", _pr_converged_sql())
 def q_pagerank_converged(spark, sf_dir):
     """K4 as the reference runs it: until n*1e-6 L1 change, at most 50 rounds."""
     return graph.pagerank(edges(spark, sf_dir), max_iter=50)
