@@ -142,21 +142,24 @@ def q_pagerank(spark, sf_dir):
     return pr.select("product_id", "pagerank")
 
 
-def _pr_converged_sql(rounds: int = 50, tol: str = "1e-6") -> str:
+def _pr_converged_ctes(rounds: int = 50, tol: str = "1e-6") -> str:
     errs = " UNION ALL ".join(
         f"SELECT {i} AS it, sum(abs(a.rank - b.rank)) AS err FROM r_pr{i} a JOIN r_pr{i - 1} b ON a.node = b.node"
         for i in range(1, rounds + 1))
     ranks = " UNION ALL ".join(f"SELECT {i} AS it, node, rank FROM r_pr{i}" for i in range(1, rounds + 1))
-    ctes = (PAIR_CTES + ",\n" + _pr_ctes(rounds) + f""",
+    return _pr_ctes(rounds) + f""",
 r_prerr AS ({errs}),
 r_prstop AS (
   SELECT CAST(coalesce(min(it) FILTER (WHERE err < (SELECT n FROM r_nn) * {tol}), {rounds}) AS INTEGER) AS it,
          coalesce(bool_or(err < (SELECT n FROM r_nn) * {tol}), false) AS conv
   FROM r_prerr),
-r_prall AS ({ranks})""")
+r_prall AS ({ranks})"""
+
+
+def _pr_converged_sql() -> str:
     body = """SELECT a.node AS product_id, a.rank AS pagerank, s.it AS iterations, s.conv AS converged
 FROM r_prall a JOIN r_prstop s ON a.it = s.it"""
-    return sql(round_cols(body, ["pagerank"]), ctes)
+    return sql(round_cols(body, ["pagerank"]), PAIR_CTES + ",\n" + _pr_converged_ctes())
 
 
 @register("pagerank_converged", _pr_converged_sql())
@@ -209,13 +212,33 @@ def q_betweenness(spark, sf_dir):
     return graph.betweenness(edges(spark, sf_dir), k=1000)
 
 
-@register("centrality_table")
+CENT_CTES = PAIR_CTES + ",\n" + _pr_converged_ctes() + ",\n" + _btw_ctes() + """,
+r_deg AS (
+  SELECT src AS product_id,
+         CASE WHEN (SELECT count(DISTINCT src) FROM r_edges) > 1
+              THEN CAST(count(*) + count_if(src = dst) AS DOUBLE) / ((SELECT count(DISTINCT src) FROM r_edges) - 1)
+              ELSE 1.0::DOUBLE END AS degree_centrality
+  FROM r_edges GROUP BY src),
+r_btw AS (
+  SELECT n.node AS product_id, coalesce(b.b, 0.0) * (SELECT f FROM r_bscale) AS betweenness_centrality
+  FROM r_bn n LEFT JOIN r_bacc b ON n.node = b.product_id),
+r_prc AS (SELECT a.node AS product_id, a.rank AS pagerank FROM r_prall a JOIN r_prstop s ON a.it = s.it),
+r_cent AS (
+  SELECT d.product_id, d.degree_centrality, b.betweenness_centrality, p.pagerank
+  FROM r_deg d LEFT JOIN r_btw b ON d.product_id = b.product_id LEFT JOIN r_prc p ON d.product_id = p.product_id)
+"""
+CENT_COLS = ["degree_centrality", "betweenness_centrality", "pagerank"]
+
+
+@register("centrality_table", sql(round_cols("SELECT * FROM r_cent", CENT_COLS), CENT_CTES))
 def q_centrality_table(spark, sf_dir):
     """K6: degree, betweenness and PageRank per node."""
     return graph.centrality_table(edges(spark, sf_dir))
 
 
-@register("top_centrality")
+@register("top_centrality", sql(round_cols(" UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{m}' AS measure, product_id, {m} AS value FROM r_cent WHERE {m} IS NOT NULL "
+    f"ORDER BY {m} DESC, product_id LIMIT 1)" for m in CENT_COLS), ["value"]), CENT_CTES))
 def q_top_centrality(spark, sf_dir):
     """Top product per centrality measure."""
     table = graph.centrality_table(edges(spark, sf_dir))
