@@ -61,13 +61,42 @@ def q_training_matrix_base(spark, sf_dir):
     return training.training_matrix(sampled(spark, sf_dir), training.BASE_FEATURES)
 
 
-@register("enhanced_lines")
+def _enhanced_sql_parts():
+    from cartwise.plans.q_enrich import ENRICH_CTES
+    from cartwise.plans.q_features import SIM_CTES
+    from cartwise.plans.q_graph import CENT_CTES, EXP_CTES, PAIR_CTES
+    from cartwise.plans.q_prep import FEATURE_DOUBLES
+
+    ctes = (EXP_CTES + SIM_CTES[len(PAIR_CTES):] + CENT_CTES[len(PAIR_CTES):] + ",\n" + ENRICH_CTES.strip()
+            + f""",
+r_enh AS (
+  SELECT f.*, c.llm_category,
+         {', '.join(f'coalesce({a}.{x}, 0.0) AS {x}' for a, x in [('s', 'avg_semantic_similarity'),
+             ('s', 'max_semantic_similarity'), ('s', 'semantic_diversity'), ('ce', 'degree_centrality'),
+             ('ce', 'betweenness_centrality'), ('ce', 'pagerank'), ('sc', 'basket_expansion_score'),
+             ('sc', 'cross_sell_strength'), ('sc', 'avg_basket_size_with_product')])}
+  FROM r_features f LEFT JOIN r_cats c ON f.product_id = c.product_id
+  LEFT JOIN r_simf s ON f.product_id = s.product_id
+  LEFT JOIN r_cent ce ON f.product_id = ce.product_id
+  LEFT JOIN r_score sc ON f.product_id = sc.product_id
+  WHERE {h('f.order_id', 'f.product_id')} < {FRACTION})""")
+    return ctes, FEATURE_DOUBLES + training.ENHANCED_FEATURES
+
+
+_ENH_CTES, _ENH_DOUBLES = _enhanced_sql_parts()
+_ALL_FEATURES = training.BASE_FEATURES + training.ENHANCED_FEATURES
+
+
+@register("enhanced_lines", sql(round_cols("SELECT * FROM r_enh", _ENH_DOUBLES), _ENH_CTES))
 def q_enhanced_lines(spark, sf_dir):
     """The sample with all enrichment and graph features merged."""
-    return enhanced(spark, sf_dir)
+    return enhanced(spark, sf_dir).drop("row_id")
 
 
-@register("training_matrix")
+@register("training_matrix", sql(round_cols(f"""
+SELECT order_id, product_id, {', '.join(f'CAST(coalesce({c}, 0) AS DOUBLE) AS {c}' for c in _ALL_FEATURES)},
+       reordered AS label
+FROM r_enh""", _ALL_FEATURES), _ENH_CTES))
 def q_training_matrix(spark, sf_dir):
     """L1: the 21 enhanced features, NULL -> 0, label."""
     return training.training_matrix(enhanced(spark, sf_dir), training.BASE_FEATURES + training.ENHANCED_FEATURES)
