@@ -147,7 +147,12 @@ def balanced(spark, sf_dir, feats):
     return _MEMO[key]
 
 
-@register("smote_balance")
+@register("smote_balance", sql(f"""
+SELECT label, false AS is_synthetic, n FROM c
+UNION ALL
+SELECT (SELECT label FROM c ORDER BY n, label LIMIT 1), true, (SELECT max(n) - min(n) FROM c)""",
+    f"c AS (SELECT reordered AS label, count(*) AS n FROM r_features "
+    f"WHERE {h('order_id', 'product_id')} < {FRACTION} GROUP BY reordered)"))
 def q_smote_balance(spark, sf_dir):
     """I4: class counts before/after SMOTE (equal after)."""
     b = balanced(spark, sf_dir, training.BASE_FEATURES)
