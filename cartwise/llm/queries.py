@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwise.llm import mixing, simhash, token_counts, warc
+from cartwise.llm import (
+    decontaminate, embedding_dedup, lm, mixing, quality, simhash, substring_dedup, token_counts, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +110,97 @@ FROM b
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages to archives, normalise them and read them back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+CONTAIN_SQL = rf"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), ig AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS n,
+         unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda k: array_to_string(w[k + 1:k + 5], ' '))) AS g
+  FROM i WHERE len(w) > 0
+), q AS (
+  SELECT item_id, n, count(*) AS c FROM ig GROUP BY ALL
+), d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), dg AS (
+  SELECT DISTINCT doc_id, n, unnest(list_transform(range(len(w) - n + 1), lambda k: array_to_string(w[k + 1:k + n], ' '))) AS g
+  FROM d, (SELECT DISTINCT n FROM q) WHERE len(w) >= n
+)
+SELECT doc_id, item_id, q.c::INT AS n_shingles, count(*)::INT AS n_found, count(*)::DOUBLE / q.c AS containment
+FROM ig JOIN dg USING (n, g) JOIN q USING (item_id)
+GROUP BY doc_id, item_id, q.c HAVING count(*)::DOUBLE / q.c >= 0.8::DOUBLE
+"""
+
+
+@query("op2_decontaminate", CONTAIN_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+COSINE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+         label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.usable AND b.usable AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT vec_id AS id, vec_id AS other FROM v
+  UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a
+), c AS (
+  SELECT id, min(other) AS component_id FROM r GROUP BY id
+), n AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON v.vec_id = c.id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
+@query("op7_embedding_dedup", COSINE_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SPAN_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(len(w) - 19)) AS s, w FROM d WHERE len(w) >= 20
+), g AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s + 1:s + 20], ' ') ORDER BY doc_id, s) AS k FROM p
+), x AS (
+  SELECT DISTINCT doc_id, s + unnest(range(20)) AS word FROM g WHERE k > 1
+), y AS (
+  SELECT doc_id, count(*) AS n, list(word) AS gone FROM x GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(y.n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda v, k: y.gone IS NULL OR NOT list_contains(y.gone, k - 1)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN y ON d.doc_id = y.doc_id
+"""
+
+
+@query("op8_substring_dedup", SPAN_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 20-word windows of all documents removed."""
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_lm_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents."""
+    return lm.score(table(spark, sf_dir, "documents"))

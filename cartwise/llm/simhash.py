@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwise.llm.components import components
 from cartwise.llm.text import free_name, text_bytes
@@ -185,4 +186,4 @@ def _with_print(docs: DataFrame, name: str, width: int, text_col: str) -> DataFr
             fps = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=names)
 
-    return docs.mapInArrow(run, docs.schema.add(name, "long"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

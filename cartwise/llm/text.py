@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MASK64 = (1 << 64) - 1
 
@@ -23,7 +24,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row ranges of about ``most_bytes`` of text (one row at least)."""
     col = batch.column(column)
-    sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(col).to_pylist()], dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > most_bytes:

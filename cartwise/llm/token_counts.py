@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwise.session import materialize
 
@@ -49,7 +50,7 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
     rows = docs.select(F.col(text_col).cast("string"), *keep)
-    schema = docs.select(*keep).schema.add("n_tokens", "long")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_tokens", T.LongType())])
     return rows.mapInArrow(run, schema)
 
 
