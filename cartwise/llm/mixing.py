@@ -167,10 +167,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copy = F.array(*[F.struct(F.lit(k).alias("round"), _finish(k).alias("finish"), _given(edge, k).alias("taken"))
                      for k in range(repeat)])
     rows = timed.select("row", "size", "source_key", F.explode(copy).alias("copy")).where("copy.taken > 0")
-    first_words = F.regexp_extract(
-        F.col(f"row.{text_col}"),
-        F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("copy.taken").cast("string"), F.lit("}")),
-        F.lit(0))
+    words = F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(WORD), F.lit(0))
+    first_words = F.array_join(F.slice(words, F.lit(1), F.col("copy.taken").cast("int")), " ")
     text = F.when(F.col("copy.taken") == F.col("size"), F.col(f"row.{text_col}")).otherwise(first_words)
     rows = rows.repartitionByRange("copy.finish", "source_key").sortWithinPartitions("copy.finish", "source_key")
     return rows.select(

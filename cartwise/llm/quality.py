@@ -23,7 +23,8 @@ from cartwise.llm.text import Words, free_name, mix64, slices, text_bytes
 BUCKETS = 1 << 14
 DIM = 16
 GRAMS = (3, 4)
-EPOCHS = 6
+#: SGD steps, whatever the number of rows.
+STEPS = 400
 RATE = 80.0
 BATCH = 64
 SEED = 11
@@ -93,7 +94,7 @@ def score(table: np.ndarray, bias: float, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE,
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = STEPS, rate: float = RATE,
           seed: int = SEED) -> Model:
     """SGD on (distinct buckets, shares) per document; the rate falls to zero in a line."""
     rng = np.random.default_rng(seed)
@@ -103,10 +104,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
         return Model(vectors, weights, bias)
     share = np.bincount(labels, minlength=2) + 1.0
     bias = np.log(share / share.sum())
-    steps, step = epochs * -(-len(rows) // BATCH), 0
-    for _ in range(epochs):
+    step = 0
+    while step < steps:
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
+            if step == steps:
+                break
             pick = order[at : at + BATCH]
             x = np.zeros((len(pick), BUCKETS), dtype=np.float32)
             for k, r in enumerate(pick):

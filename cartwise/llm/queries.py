@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwise.llm import (
-    decontaminate, embedding_dedup, lm, mixing, quality, simhash, substring_dedup, token_counts, warc,
+    decontaminate, embedding_dedup, lm, mixing, quality, secret_scan, simhash, substring_dedup, token_counts, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents."""
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all documents with the forest's verdict."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
