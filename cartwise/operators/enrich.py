@@ -29,6 +29,7 @@ ATTRIBUTE_PROMPT = (
 # The record used when a structured reply cannot be parsed.
 DEFAULT_ATTRIBUTES = {"premium_score": 5.0, "necessity_score": 5.0, "impulse_score": 5.0,
                       "cross_sell_score": 5.0, "is_food": 0, "price": 3.99}
+# Products per request.
 PRICE_BATCH = 500
 CATEGORY_BATCH = 20
 # Keys per numbering bucket: ids in one bucket are distinct integers, so a
@@ -121,12 +122,21 @@ def parse_price_line(line):
     return F.when(numeric, clean.cast("double")).otherwise(F.lit(0.0))
 
 
+def one_reply(replies: DataFrame) -> DataFrame:
+    """One reply per batch: that with the most lines and commas, then the greatest text."""
+    parts = F.regexp_count(F.col("reply"), F.lit("[\\n,]"))
+    best = replies.groupBy("batch_id").agg(F.max(F.struct(parts.alias("parts"), "reply")).alias("best"))
+    return best.select("batch_id", F.col("best.reply").alias("reply"))
+
+
 def parse_price_replies(replies: DataFrame, members: DataFrame) -> DataFrame:
     """M1 reply job: line ``pos`` of a batch reply prices member ``pos``.
 
-    Missing lines give NULL prices, extra lines are dropped; a batch without a
-    reply yields no rows (it stays pending).
+    Missing lines give NULL prices (such members stay pending, see
+    ``priced``), extra lines are dropped, repeated replies count once
+    (``one_reply``); a batch without a reply yields no rows.
     """
+    replies = one_reply(replies)
     lines = replies.select("batch_id", F.posexplode(F.split(_strip(F.col("reply")), "\n")).alias("i", "line"))
     parsed = lines.select("batch_id", (F.col("i") + 1).cast("int").alias("pos"),
                           parse_price_line(F.col("line")).alias("price"))
@@ -135,6 +145,11 @@ def parse_price_replies(replies: DataFrame, members: DataFrame) -> DataFrame:
                                                                  "price")
 
 
+def priced(parsed: DataFrame) -> DataFrame:
+    """The parsed rows that are done; a member without a price is asked for again."""
+    return parsed.where(F.col("price").isNotNull())
+
+
 def top_products(lines: DataFrame, n: int = 200, by: str = "id") -> DataFrame:
     """``n`` products with order lines; ``by='id'`` = smallest ids (reference parity), ``'count'`` = most lines."""
     counts = lines.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_lines"))
@@ -142,10 +157,11 @@ def top_products(lines: DataFrame, n: int = 200, by: str = "id") -> DataFrame:
     return counts.orderBy(*order).limit(int(n))
 
 
-def category_requests(products: DataFrame, selected: DataFrame, batch_size: int = CATEGORY_BATCH):
-    """M2 request job over the selected products (C7 semi join), 20 names per batch joined by '; '."""
-    chosen = products.join(selected.select("product_id"), "product_id", "left_semi").select(
-        "product_id", "product_name")
+def category_requests(products: DataFrame, selected: DataFrame | None = None, batch_size: int = CATEGORY_BATCH):
+    """M2 request job, 20 names per batch joined by '; ': all products, or the selected ones (C7 semi join)."""
+    chosen = products.select("product_id", "product_name")
+    if selected is not None:
+        chosen = chosen.join(selected.select("product_id"), "product_id", "left_semi")
     members = assign_batches(chosen, batch_size)
     return members, _batched_text(members, lambda x: x["product_name"], "; ", CATEGORY_PROMPT_HEAD)
 
@@ -153,8 +169,10 @@ def category_requests(products: DataFrame, selected: DataFrame, batch_size: int
 def parse_category_replies(replies: DataFrame, members: DataFrame) -> DataFrame:
     """M2 reply job: trimmed comma part ``pos`` is the category of member ``pos``.
 
-    Extra parts are ignored; members beyond a short reply get no row.
+    Extra parts are ignored; members beyond a short reply get no row; repeated
+    replies count once (``one_reply``).
     """
+    replies = one_reply(replies)
     parts = replies.select(
         "batch_id", F.posexplode(F.transform(F.split(_strip(F.col("reply")), ","), lambda x: _strip(x))).alias(
             "i", "llm_category")
@@ -166,8 +184,8 @@ def parse_category_replies(replies: DataFrame, members: DataFrame) -> DataFrame:
 def attribute_requests(products: DataFrame, departments: DataFrame, aisles: DataFrame) -> DataFrame:
     """M3 request job: one prompt per distinct (product, name, department, aisle)."""
     p = (
-        products.join(F.broadcast(departments), "department_id", "left")
-        .join(F.broadcast(aisles), "aisle_id", "left")
+        products.join(departments, "department_id", "left")
+        .join(aisles, "aisle_id", "left")
         .select("product_id", "product_name", "department", "aisle")
         .dropDuplicates()
     )
@@ -178,11 +196,17 @@ def attribute_requests(products: DataFrame, departments: DataFrame, aisles: Data
 
 
 def parse_attribute_replies(replies: DataFrame) -> DataFrame:
-    """M3 reply job: JSON -> six typed fields; a reply missing any field gets the default record."""
+    """M3 reply job: JSON -> six typed fields; a reply missing any field gets the default record.
+
+    Of repeated replies to a product a complete one counts, then the greatest text.
+    """
     parsed = replies.withColumn("j", F.from_json("reply", ATTRIBUTE_SCHEMA, {"mode": "PERMISSIVE"}))
     ok = F.col("j").isNotNull()
     for f in ATTRIBUTE_SCHEMA.fieldNames():
         ok = ok & F.col(f"j.{f}").isNotNull()
+    parsed = parsed.select("product_id", "reply", "j", ok.alias("ok")).groupBy("product_id").agg(
+        F.max_by(F.struct("j", "ok"), F.struct("ok", "reply")).alias("best")).select("product_id", "best.*")
+    ok = F.col("ok")
     cols = [
         F.when(ok, F.col(f"j.{f}")).otherwise(F.lit(v).cast(ATTRIBUTE_SCHEMA[f].dataType)).alias(f)
         for f, v in DEFAULT_ATTRIBUTES.items()

@@ -17,7 +17,7 @@ from cartwise.functions.expr import exact_avg, round2
 
 def product_text(products: DataFrame, departments: DataFrame, aisles: DataFrame) -> DataFrame:
     """products ⟕ departments ⟕ aisles; combined_text = name aisle department (NULL if any part is)."""
-    p = products.join(F.broadcast(departments), "department_id", "left").join(F.broadcast(aisles), "aisle_id", "left")
+    p = products.join(departments, "department_id", "left").join(aisles, "aisle_id", "left")
     text = F.concat(F.col("product_name"), F.lit(" "), F.col("aisle"), F.lit(" "), F.col("department"))
     return p.select("product_id", "product_name", "department", "aisle", text.alias("combined_text")).dropDuplicates()
 

@@ -1,10 +1,9 @@
 """Preprocessing (N1): joins, imputation, user/product/recency features.
 
 Scale notes
-* ``aisles`` and ``departments`` are catalogue dimensions (tens to hundreds of
-  rows); they are the only tables broadcast by hint.  Every other join is left
-  to AQE, which broadcasts at run time only when the measured side is small
-  and splits skewed partitions otherwise.
+* No broadcast hints: AQE broadcasts a side, ``aisles`` and ``departments``
+  included, only when its measured size is small, and splits skewed
+  partitions otherwise.
 * Per-user / per-product statistics are ``groupBy`` aggregates joined back on
   their key, not windows: partial aggregation keeps a hot user or product
   (a third of all rows) from landing in one window task, and AQE splits the
@@ -27,8 +26,8 @@ PRODUCT_COLUMNS = ["product_id", "product_name", "aisle_id", "department_id", "a
 def product_dim(products: DataFrame, aisles: DataFrame, departments: DataFrame) -> DataFrame:
     """products ⋈ aisles ⋈ departments (inner)."""
     return (
-        products.join(F.broadcast(aisles), "aisle_id")
-        .join(F.broadcast(departments), "department_id")
+        products.join(aisles, "aisle_id")
+        .join(departments, "department_id")
         .select(*PRODUCT_COLUMNS)
     )
 

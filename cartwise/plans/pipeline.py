@@ -29,7 +29,7 @@ from cartwise.operators import (
     similarity,
     training,
 )
-from cartwise.operators.enrich import category_requests, parse_category_replies, top_products
+from cartwise.operators.enrich import category_requests, parse_category_replies
 from cartwise.session import materialize
 from cartwise.sources import sinks
 
@@ -66,10 +66,10 @@ def run_pipeline(
     feats = step("features", lambda: materialize(prep.add_base_features(prep.impute_missing(merged)), "p-features"))
     sampled = sampling.hash_sample(feats, fraction, KEYS).withColumn("row_id", F.xxhash64(*KEYS))
 
-    # 2 enrichment side: category requests for the reference's 200 products (+ parsed replies if given)
+    # 2 enrichment side: category requests for all products (+ parsed replies if given)
     prods = prep.attach_prices(
         prep.product_dim(tables["products"], tables["aisles"], tables["departments"]), tables.get("product_prices"))
-    members, requests = category_requests(prods, top_products(merged, 200))
+    members, requests = category_requests(prods)
     res["category_requests"] = requests
     cats = parse_category_replies(category_replies, members) if category_replies is not None else None
 

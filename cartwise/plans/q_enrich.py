@@ -62,7 +62,7 @@ r_pprice AS (
   WHERE m.batch_id IN (SELECT batch_id FROM r_prep)),
 r_top AS (SELECT product_id, count(*) AS n_lines FROM r_merged GROUP BY product_id ORDER BY product_id LIMIT 200),
 r_topinfo AS (SELECT * FROM r_products_full WHERE product_id IN (SELECT product_id FROM r_top)),
-r_cm AS ({_batched("(SELECT product_id, product_name FROM r_topinfo)", enrich.CATEGORY_BATCH)}),
+r_cm AS ({_batched("(SELECT product_id, product_name FROM r_products)", enrich.CATEGORY_BATCH)}),
 r_creq AS (
   SELECT batch_id, count(*) AS n_items, arg_min(product_id, pos) AS first_product_id,
          arg_max(product_id, pos) AS last_product_id,
@@ -135,10 +135,10 @@ def q_parse_price_reply(spark, sf_dir):
 
 @register("enrich_pending", sql("""
 SELECT product_id, product_name FROM r_products
-WHERE product_id NOT IN (SELECT product_id FROM r_pprice WHERE batch_id % 2 = 0)""", ENRICH_CTES))
+WHERE product_id NOT IN (SELECT product_id FROM r_pprice WHERE batch_id >= 2 AND price IS NOT NULL)""", ENRICH_CTES))
 def q_enrich_pending(spark, sf_dir):
-    """A4 + D12: products still to price after the even batches were appended."""
-    done = parsed_prices(spark, sf_dir).where(F.col("batch_id") % 2 == 0)
+    """A4 + D12: products still to price after all but two batches were appended, one reply being short."""
+    done = enrich.priced(parsed_prices(spark, sf_dir)).where(F.col("batch_id") >= 2)
     return enrich.pending(tables(spark, sf_dir)["products"].select("product_id", "product_name"), done)
 
 
@@ -156,7 +156,7 @@ def q_top_products_info(spark, sf_dir):
 
 
 def category_members(spark, sf_dir):
-    return enrich.category_requests(top_info(spark, sf_dir), top_info(spark, sf_dir))
+    return enrich.category_requests(tables(spark, sf_dir)["products"])
 
 
 @register("build_category_requests", sql("SELECT * FROM r_creq", ENRICH_CTES))

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.sources.files import _exists
+
 
 def append_table(df: DataFrame, path: str, fmt: str = "parquet", key: str | None = None) -> None:
-    """Append a batch (B1).  With ``key``, rows whose key is already stored are skipped,
-    so a replayed batch adds nothing (idempotent resume)."""
+    """Append a batch (B1).  With ``key``, rows whose key is already stored are skipped and
+    one row per key is taken, so a replayed batch adds nothing (idempotent resume).
+
+    Stored rows are read with the schema of ``df``; a table that is there but
+    cannot be read raises.
+    """
     spark = df.sparkSession
     if key is not None:
-        try:
-            existing = spark.read.format(fmt).load(path).select(key)
-            df = df.join(existing, key, "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: nothing stored yet
-            pass
+        df = df.dropDuplicates([key])
+        if _exists(spark, path):
+            reader = spark.read.schema(df.schema).format(fmt)
+            if fmt == "csv":
+                reader = reader.option("header", True).option("mode", "FAILFAST")
+            df = df.join(reader.load(path).select(key), key, "left_anti").select(*df.columns)
     writer = df.write.mode("append").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

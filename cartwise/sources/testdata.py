@@ -142,19 +142,25 @@ def retail_plans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-_MEMO: dict[tuple[int, str], dict[str, DataFrame]] = {}
+_MEMO: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_INPUTS = ("part", "orders", "lineitem", "embeddings")
 
 
-def _fingerprint(sf_dir: str) -> str:
+def fingerprint(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = _INPUTS) -> str:
+    """Identity of the input files by path, name, length and time of change, in whatever store Spark reads."""
     import hashlib
-    import os
-
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    for name in ("part", "orders", "lineitem", "embeddings"):
-        p = f"{sf_dir}/{name}.parquet"
-        if os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1(sf_dir.encode())
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            continue
+        found = fs.listStatus(path)
+        for line in sorted(f"{s.getPath().toString()}:{s.getLen()}:{s.getModificationTime()}" for s in found):
+            h.update(line.encode())
     return h.hexdigest()[:16]
 
 
@@ -164,17 +170,18 @@ def load_retail(spark: SparkSession, sf_dir: str, materialize: bool = True) -> d
     The written copy lives in the session's reliable checkpoint folder (the
     shared folder named by ``spark.checkpoint.dir``), so it plays the role of
     the input files a real deployment has and later scans get column pruning
-    and filter pushdown.  It is keyed by the source files, so changed inputs
-    are re-derived.
+    and filter pushdown.  Copy and memo are keyed by the fingerprint of the
+    source files, so changed inputs are re-derived.
     """
     if not materialize:
         return retail_plans(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    print_ = fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, print_)
     if key in _MEMO:
         return _MEMO[key]
     from cartwise.session import ensure_checkpoint_dir
 
-    root = f"{ensure_checkpoint_dir(spark)}/cartwise-retail/{_fingerprint(sf_dir)}"
+    root = f"{ensure_checkpoint_dir(spark)}/cartwise-retail/{print_}"
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     plans = retail_plans(spark, sf_dir)

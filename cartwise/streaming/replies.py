@@ -26,7 +26,7 @@ def ingest_price_replies(spark: SparkSession, reply_dir: str, members: DataFrame
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         parsed = parse_price_replies(batch.where("kind = 'price'").select("batch_id", "reply"), members)
-        append_table(parsed, out_path, key="product_id")
+        append_table(parsed.where("price is not null"), out_path, key="product_id")
 
     q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()

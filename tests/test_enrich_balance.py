@@ -13,6 +13,18 @@ def test_price_reply_lines(spark):
     assert got == {1: 1234.5, 2: 0.0, 3: 99.0, 4: 12.0, 5: 3.5, 6: None}
 
 
+def test_short_and_repeated_replies(spark):
+    members = spark.createDataFrame([(1, "a", 0, 1), (2, "b", 0, 2)],
+                                    "product_id bigint, product_name string, batch_id long, pos int")
+    replies = spark.createDataFrame([(0, "1. 5"), (0, "1. 5")], "batch_id long, reply string")
+    parsed = enrich.parse_price_replies(replies, members)
+    assert parsed.count() == 2
+    left = enrich.pending(members.select("product_id"), enrich.priced(parsed)).collect()
+    assert [r.product_id for r in left] == [2]
+    longer = replies.unionByName(spark.createDataFrame([(0, "1. 5\n2. 6")], "batch_id long, reply string"))
+    assert sorted(r.price for r in enrich.parse_price_replies(longer, members).collect()) == [5.0, 6.0]
+
+
 def test_category_reply_short_and_long(spark):
     members = spark.createDataFrame([(i, f"n{i}", 0, i) for i in range(1, 4)] + [(i, f"n{i}", 1, i - 3) for i in range(4, 7)],
                                     "product_id bigint, product_name string, batch_id long, pos int")

@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartwise.operators import enrich
@@ -17,6 +18,19 @@ def test_append_is_idempotent_by_key(spark):
     assert spark.read.parquet(f"{d}/t").count() == 2
 
 
+def test_csv_append_is_idempotent_and_errors_rise(spark):
+    d = tempfile.mkdtemp(prefix="cartwise-sink-")
+    df = spark.createDataFrame([(1, 2.0), (2, 3.0), (2, 3.0)], "product_id bigint, price double")
+    sinks.append_table(df, f"{d}/t", fmt="csv", key="product_id")
+    sinks.append_table(df, f"{d}/t", fmt="csv", key="product_id")
+    assert spark.read.option("header", True).csv(f"{d}/t").count() == 2
+    os.makedirs(f"{d}/bad")
+    with open(f"{d}/bad/part-0.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        sinks.append_table(df, f"{d}/bad", key="product_id")
+
+
 def test_reply_stream_resumes(spark):
     d = tempfile.mkdtemp(prefix="cartwise-stream-")
     products = spark.range(1, 8).select(F.col("id").alias("product_id"), F.concat(F.lit("p"), "id").alias("product_name"))
