@@ -1,18 +1,17 @@
 """Co-purchased product pairs.
 
-Pairs are enumerated by a self equi-join on ``order_id`` with the residual
-condition position(a) < position(b) (position = (add_to_cart_order,
-product_id)), then counted with partial aggregation right after the join.
+Pairs are enumerated by one self equi-join with the residual condition
+position(a) < position(b) (position = (add_to_cart_order, product_id)), then
+counted with partial aggregation right after the join.
 
 Scale notes
 * Apriori pruning (exact): a pair can only reach ``min_support`` orders if
   both of its products do, so lines of products below the threshold are
   removed with a left-semi join before the self-join.
-* Hot orders (more than ``hot_order_size`` lines, found by one small
-  aggregate) are split explicitly: items are hashed into blocks and every
-  (block, block) pair is its own join key, so no single task enumerates all
-  pairs of a huge basket.  Ordinary orders use one self-join on
-  ``order_id``, where AQE's skew join still splits any skewed partition.
+* Every order is cut into ceil(lines / BLOCK) blocks by product hash, and each
+  (order, block, block) is a join key of its own.  Ordinary orders are one
+  block; a huge basket is spread over blocks^2 keys, so no task enumerates
+  more than about BLOCK^2 pairs of it, whatever its size.
   The (p1, p2) count is combined map-side before the shuffle.
 """
 
@@ -21,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Lines of an order that one block holds, expected.
+BLOCK = 1000
+
 
 def first_orders(lines: DataFrame, max_orders: int | None) -> DataFrame:
     """The first ``max_orders`` distinct order ids by id (C15); all if None."""
@@ -31,71 +33,40 @@ def first_orders(lines: DataFrame, max_orders: int | None) -> DataFrame:
 
 
 def frequent_items(lines: DataFrame, min_support: int) -> DataFrame:
-    """Products present in at least ``min_support`` orders."""
-    return (
-        lines.select("order_id", "product_id")
-        .groupBy("product_id")
-        .agg(F.count_distinct("order_id").alias("item_support"))
-        .where(F.col("item_support") >= min_support)
-        .select("product_id")
-    )
-
-
-def _before():
-    return (F.col("pos1") < F.col("pos2")) | ((F.col("pos1") == F.col("pos2")) & (F.col("p1") < F.col("p2")))
-
-
-def _pairs_by_order(base: DataFrame) -> DataFrame:
-    a = base.select("order_id", F.col("product_id").alias("p1"), F.col("pos").alias("pos1"))
-    b = base.select(F.col("order_id").alias("o2"), F.col("product_id").alias("p2"), F.col("pos").alias("pos2"))
-    return a.join(b, (F.col("order_id") == F.col("o2")) & _before()).select("order_id", "p1", "p2", "pos1", "pos2")
-
-
-def _pairs_by_block(base: DataFrame, blocks: int) -> DataFrame:
-    """Pairs of very large orders, split into blocks x blocks join keys.
-
-    Items get block = hash(product) mod ``blocks``; the left copy of an item
-    is sent to (own block, j) and the right copy to (i, own block) for every
-    i, j, so block pair (i, j) is one join key holding about (m/blocks)^2
-    candidate pairs.  Every pair of the order meets in exactly one key.
-    """
-    blk = F.pmod(F.xxhash64("product_id"), F.lit(blocks)).cast("int")
-    ids = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = base.select("order_id", F.col("product_id").alias("p1"), F.col("pos").alias("pos1"),
-                    blk.alias("ba"), F.explode(ids).alias("bb"))
-    b = base.select(F.col("order_id").alias("o2"), F.col("product_id").alias("p2"), F.col("pos").alias("pos2"),
-                    F.explode(ids).alias("ba2"), blk.alias("bb2"))
-    cond = (F.col("order_id") == F.col("o2")) & (F.col("ba") == F.col("ba2")) & (F.col("bb") == F.col("bb2"))
-    return a.join(b, cond & _before()).select("order_id", "p1", "p2", "pos1", "pos2")
+    """Products with at least ``min_support`` lines, an upper bound of the orders they are in."""
+    counts = lines.groupBy("product_id").agg(F.count(F.lit(1)).alias("item_support"))
+    return counts.where(F.col("item_support") >= min_support).select("product_id")
 
 
 def basket_pairs(lines: DataFrame, max_orders: int | None = None, min_support: int = 1,
-                 hot_order_size: int | None = 100_000, blocks: int = 16) -> DataFrame:
+                 block: int = BLOCK) -> DataFrame:
     """All ordered pairs inside each order (D11): order_id, p1, p2, pos1, pos2.
 
     ``p1`` comes before ``p2`` in the basket.  Lines of products that cannot
-    reach ``min_support`` are pruned first (exact).  Orders with more than
-    ``hot_order_size`` lines are enumerated block-wise (see
-    ``_pairs_by_block``) so a single huge basket is spread over
-    ``blocks``^2 tasks; the others use one self-join on ``order_id``.
+    reach ``min_support`` are pruned first (exact).  The left copy of a line
+    goes to (own block, j) and the right copy to (i, own block) for every i, j
+    of its order, so every pair of an order meets in exactly one key.
     """
     base = lines.select("order_id", "product_id", F.col("add_to_cart_order").alias("pos"))
     if max_orders is not None:
         base = base.join(first_orders(base, max_orders), "order_id", "left_semi")
     if min_support > 1:
         base = base.join(frequent_items(base, min_support), "product_id", "left_semi")
-    if hot_order_size is None:
-        return _pairs_by_order(base)
-    sizes = base.groupBy("order_id").agg(F.count(F.lit(1)).alias("_size"))
-    hot = sizes.where(F.col("_size") > hot_order_size).select("order_id")
-    cold_lines = base.join(hot, "order_id", "left_anti")
-    hot_lines = base.join(hot, "order_id", "left_semi")
-    return _pairs_by_order(cold_lines).unionByName(_pairs_by_block(hot_lines, blocks))
+    sizes = base.groupBy("order_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    base = base.join(sizes, "order_id").withColumn(
+        "own", F.pmod(F.xxhash64("product_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = base.select("order_id", F.col("product_id").alias("p1"), F.col("pos").alias("pos1"),
+                    F.col("own").alias("b1"), every.alias("b2"))
+    b = base.select("order_id", F.col("product_id").alias("p2"), F.col("pos").alias("pos2"),
+                    every.alias("b1"), F.col("own").alias("b2"))
+    before = (F.col("pos1") < F.col("pos2")) | ((F.col("pos1") == F.col("pos2")) & (F.col("p1") < F.col("p2")))
+    return a.join(b, ["order_id", "b1", "b2"]).where(before).select("order_id", "p1", "p2", "pos1", "pos2")
 
 
 def frequent_pairs(
     lines: DataFrame, min_support: int = 5, mode: str = "directed", max_orders: int | None = None,
-    hot_order_size: int | None = 100_000,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Pair counts with ``cnt >= min_support``.
 
@@ -106,7 +77,7 @@ def frequent_pairs(
     order and the two directions of a pair never share their first order.
     ``canonical``: (least, greatest) counted together.
     """
-    pairs = basket_pairs(lines, max_orders=max_orders, min_support=min_support, hot_order_size=hot_order_size)
+    pairs = basket_pairs(lines, max_orders=max_orders, min_support=min_support, block=block)
     if mode == "canonical":
         return (
             pairs.select(F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2"))

@@ -122,7 +122,8 @@ def round_cols(inner: str, cols: list[str], digits: int = 6) -> str:
     """Wrap a SELECT so the listed double columns are rounded like the Spark side."""
     if not cols:
         return inner
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    rep = ", ".join(f"CASE WHEN abs({c}) < 1 THEN CAST(CAST({c} AS FLOAT) AS DOUBLE) ELSE round({c}, {digits}) END AS {c}"
+                    for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({inner.strip()}) AS _q"
 
 

@@ -18,9 +18,12 @@ def tables(spark, sf_dir):
     return testdata.load_retail(spark, sf_dir)
 
 
+PRODUCT_TEXTS = ["product_name", "aisle", "department"]
+
+
 def merged(spark, sf_dir):
-    """Merged order lines, materialised: several aggregates fan out from it."""
-    return stage("merged", spark, sf_dir, lambda: prep.merge_all(tables(spark, sf_dir))[0])
+    """Merged order lines, lazy: each query scans the columns it needs."""
+    return prep.merge_all(tables(spark, sf_dir))[0]
 
 
 def imputed(spark, sf_dir):
@@ -28,7 +31,12 @@ def imputed(spark, sf_dir):
 
 
 def features(spark, sf_dir):
-    return prep.add_base_features(imputed(spark, sf_dir))
+    """Lines with base features.  Four aggregates fan out from the lines, so these are staged,
+    without the product texts, which are joined to the result."""
+    thin = stage("lines", spark, sf_dir, lambda: merged(spark, sf_dir).drop(*PRODUCT_TEXTS))
+    t = tables(spark, sf_dir)
+    texts = prep.product_dim(t["products"], t["aisles"], t["departments"]).select("product_id", *PRODUCT_TEXTS)
+    return prep.add_base_features(prep.impute_missing(thin)).join(texts, "product_id")
 
 
 _RETAIL = ["aisles", "departments", "products", "orders", "order_products_prior", "order_products_train",

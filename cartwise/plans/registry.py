@@ -31,8 +31,8 @@ def stage(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataF
 def register(name: str, oracle: str | None = None):
     """Decorator: register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
 
-    The returned DataFrame has its floating columns rounded to 6 digits so it
-    compares value-for-value with the oracle (which rounds the same columns).
+    The returned DataFrame has its floating columns rounded by ``round_doubles``
+    so it compares value-for-value with the oracle (which rounds the same columns).
     """
 
     def deco(fn):
@@ -54,13 +54,20 @@ def register(name: str, oracle: str | None = None):
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Double columns rounded alike on both sides of a comparison.
+
+    Values of one and more keep ``digits`` decimals: round(x * 10^d) / 10^d on
+    the binary value, the same rule as DuckDB's round(x, d).  Smaller values
+    keep the 24 significant bits of a single-precision float, so measures that
+    shrink with the number of nodes (PageRank, centralities) stay distinct at
+    any size.
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            # round(x * 10^d) / 10^d on the binary value: the same rule as
-            # DuckDB's round(x, d), so both sides land on the same double.
-            scale = float(10**digits)
-            cols.append((F.round(F.col(f.name) * scale) / scale).alias(f.name))
+            x, scale = F.col(f.name), float(10**digits)
+            small = x.cast("float").cast("double")
+            cols.append(F.when(F.abs(x) < 1, small).otherwise(F.round(x * scale) / scale).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -61,4 +61,16 @@ def materialize(df, label: str = "stage"):
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cartwise-stage/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _STAGES.append(path)
     return spark.read.parquet(path)
+
+
+_STAGES: list[str] = []
+
+
+def delete_stages(spark: SparkSession) -> None:
+    """Delete the stages this process has written; call it when their results have been used."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        path.getFileSystem(conf).delete(path, True)

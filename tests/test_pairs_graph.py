@@ -72,6 +72,6 @@ def test_strength_is_mean_neighbour_weight(spark):
 def test_hot_order_block_split_equals_plain(spark):
     baskets = [list(range(1, 41))] + [[1, 2, 3], [2, 3, 4], [5, 6]] * 3
     lines = _lines(spark, baskets)
-    plain = {tuple(r) for r in pairs.basket_pairs(lines, hot_order_size=None).collect()}
-    split = {tuple(r) for r in pairs.basket_pairs(lines, hot_order_size=10, blocks=4).collect()}
+    plain = {tuple(r) for r in pairs.basket_pairs(lines).collect()}
+    split = {tuple(r) for r in pairs.basket_pairs(lines, block=3).collect()}
     assert plain == split and len(plain) == 40 * 39 // 2 + 3 * 3 + 3 * 3 + 3 * 1
