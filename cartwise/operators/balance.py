@@ -3,156 +3,134 @@
 Synthetic row s (0 <= s < G, G = majority - minority):
   base = minority row number (s mod m) in key-hash order,
   neighbour = rank 1 + floor(n_s * h('n', s)) among its k nearest minority rows
-              (n_s = neighbours found, k normally), ties by row id,
+              (n_s = neighbours found, k normally), ties by row key,
   point = base + h('u', s) * (neighbour - base), label = minority label.
-All steps are equi-joins on (row number) and (row id, rank); the G synthetic
-ids come from ``spark.range`` (distributed).
-
-Nearest neighbours are exact when the minority matrix is below a checked
-size bound: it is broadcast and every task computes distances for its own
-minority rows in numpy blocks (``mapInPandas``).  Above the bound, MLlib's
-bucketed random projection LSH join gives approximate neighbours (SMOTE is a
-randomised method; recall, not correctness of the labels, is what changes).
+All steps are equi-joins on (row number) and (row key, rank); the G synthetic
+numbers come from ``spark.range`` (distributed).
+
+Nearest neighbours are exact at every size: minority rows are cut into blocks
+by key hash, every pair of blocks is one group with the k nearest of each
+query row in it, and these are merged to the k nearest of all.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise.functions.expr import SEED, unit_hash
+from cartwise.session import materialize
 
-# Largest minority matrix (rows x features x 8 bytes) shipped to every task.
-MAX_EXACT_BYTES = 256 << 20
+# Minority rows of a block, expected, and query rows compared at once inside a pair of blocks.
+BLOCK_ROWS = 4096
+CHUNK = 256
 
 
-def number_by_hash(df: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Adds ``idx`` = 0-based rank of the 64-bit ``id_col`` without a global window.
+def number_by_hash(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``idx`` = 0-based rank by (hash of the keys, keys) without a global window.
 
-    The top 16 bits split ids into 65536 ordered ranges; range sizes are
-    prefix-summed over that small table, rows are numbered inside each range.
+    The top 16 bits of the hash cut the rows into 65536 even ranges; range
+    sizes are prefix-summed over that small table, rows are numbered inside.
     """
-    b = df.withColumn("_bk", F.shiftright(F.col(id_col), 48))
+    b = df.withColumn("_h", F.xxhash64(*keys)).withColumn("_bk", F.shiftright("_h", 48))
     sizes = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.select(
         "_bk",
         F.coalesce(F.sum("_n").over(Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
     )
-    w = Window.partitionBy("_bk").orderBy(id_col)
-    return b.join(offs, "_bk").withColumn("idx", F.col("_off") + F.row_number().over(w) - 1).drop("_bk", "_off")
-
-
-def _exact_knn(minority: DataFrame, k: int, n_rows: int, dim: int) -> DataFrame:
-    spark = minority.sparkSession
-    pdf = minority.select("row_id", "x").toPandas()  # size checked by the caller
-    ids = pdf["row_id"].to_numpy(dtype=np.int64)
-    mat = np.vstack(pdf["x"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dim))
-    b_ids, b_mat = spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(mat)
-
-    def knn(batches):
-        ref_ids, ref = b_ids.value, b_mat.value
-        ref_sq = (ref * ref).sum(axis=1)
-        for pdf in batches:
-            if pdf.empty:
+    w = Window.partitionBy("_bk").orderBy("_h", *keys)
+    return b.join(offs, "_bk").withColumn("idx", F.col("_off") + F.row_number().over(w) - 1).drop("_bk", "_off", "_h")
+
+
+def _nearest(k: int):
+    """The k nearest rows of side 1 for every row of side 0 in one pair of blocks, ties by ordinal."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, ordinal = table["side"].to_numpy(), table["idx"].to_numpy()
+        x = np.array(table["x"].to_pylist(), dtype=np.float64).reshape(len(side), -1)
+        q, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        r = r[np.argsort(ordinal[r], kind="stable")]
+        out: list[list[np.ndarray]] = [[], [], []]
+        for at in range(0, len(q), CHUNK):
+            rows = q[at : at + CHUNK]
+            d2 = np.zeros((len(rows), len(r)))
+            for c in range(x.shape[1]):  # plain differences: nothing cancels, whatever the offset of a column
+                d2 += (x[rows, c][:, None] - x[r, c][None, :]) ** 2
+            d2[ordinal[rows][:, None] == ordinal[r][None, :]] = np.inf
+            take = min(k, len(r))
+            if not take:
                 continue
-            q = np.vstack(pdf["x"].to_numpy()).astype(np.float64)
-            qid = pdf["row_id"].to_numpy(dtype=np.int64)
-            out_id, out_rank, out_nb, out_d = [], [], [], []
-            for start in range(0, len(q), 1024):
-                qq = q[start : start + 1024]
-                d2 = (qq * qq).sum(axis=1)[:, None] + ref_sq[None, :] - 2.0 * qq @ ref.T
-                np.maximum(d2, 0.0, out=d2)
-                for i in range(len(qq)):
-                    me = qid[start + i]
-                    mask = ref_ids != me
-                    cand_d, cand_id = d2[i][mask], ref_ids[mask]
-                    take = min(k, len(cand_d))
-                    part = np.argpartition(cand_d, take - 1)[:take] if take < len(cand_d) else np.arange(len(cand_d))
-                    # ties at the cut: include every candidate at the k-th distance, then order by (dist, id)
-                    kth = cand_d[part].max() if take else 0.0
-                    sel = np.nonzero(cand_d <= kth * (1 + 1e-9) + 1e-12)[0]
-                    # exact distances of the short list, ordered by (distance, id)
-                    ref_rows = ref[mask][sel]
-                    exact = np.sqrt(((ref_rows - qq[i]) ** 2).sum(axis=1))
-                    order = np.lexsort((cand_id[sel], exact))[:take]
-                    for r, j in enumerate(order, start=1):
-                        out_id.append(me)
-                        out_rank.append(r)
-                        out_nb.append(cand_id[sel[j]])
-                        out_d.append(float(exact[j]))
-            yield pd.DataFrame({"row_id": out_id, "rank": out_rank, "nb_id": out_nb, "distance": out_d})
-
-    schema = "row_id long, rank int, nb_id long, distance double"
-    return minority.select("row_id", "x").mapInPandas(knn, schema)
-
-
-def _lsh_knn(minority: DataFrame, k: int) -> DataFrame:
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    vec = minority.select("row_id", array_to_vector("x").alias("v"))
-    stats = minority.select(F.explode("x").alias("e")).agg(F.stddev_pop("e")).first()[0] or 1.0
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=max(stats, 1e-9), numHashTables=5,
-                                      seed=SEED).fit(vec)
-    pairs = lsh.approxSimilarityJoin(vec, vec, threshold=float("inf"), distCol="distance").select(
-        F.col("datasetA.row_id").alias("row_id"), F.col("datasetB.row_id").alias("nb_id"), "distance"
-    ).where(F.col("row_id") != F.col("nb_id"))
-    w = Window.partitionBy("row_id").orderBy("distance", "nb_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "row_id", F.col("rank").cast("int"), "nb_id", "distance")
-
-
-def minority_neighbors(minority: DataFrame, k: int = 5, dim: int | None = None,
-                       max_exact_bytes: int = MAX_EXACT_BYTES) -> DataFrame:
-    """row_id, rank (1..k), nb_id, distance: the k nearest other minority rows."""
+            best = np.argsort(d2, axis=1, kind="stable")[:, :take]
+            near = np.take_along_axis(d2, best, axis=1)
+            keep = np.isfinite(near)
+            out[0].append(np.repeat(ordinal[rows], take).reshape(near.shape)[keep])
+            out[1].append(ordinal[r][best][keep])
+            out[2].append(np.sqrt(near[keep]))
+        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        return pa.table({"idx": cols[0].astype(np.int64), "nb_idx": cols[1].astype(np.int64), "distance": cols[2]})
+
+    return run
+
+
+def minority_neighbors(minority: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(idx, x) -> idx, rank (1..k), nb_idx, distance: the k nearest other rows, exact, ties by idx.
+
+    A row meets every block once as a query and once as a reference; the k
+    nearest of each pair of blocks are merged, so groups stay bounded.
+    """
     n = minority.count()
-    dim = dim if dim is not None else len(minority.select("x").first()["x"]) if n else 0
-    if n * max(dim, 1) * 8 <= max_exact_bytes:
-        return _exact_knn(minority, k, n, dim)
-    return _lsh_knn(minority, k)
+    blocks = max(1, -(-n // block_rows))
+    own = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    queries = minority.select("idx", "x", F.lit(0).alias("side"), own.alias("qb"), every.alias("rb"))
+    refs = minority.select("idx", "x", F.lit(1).alias("side"), every.alias("qb"), own.alias("rb"))
+    near = queries.unionByName(refs).groupBy("qb", "rb").applyInArrow(
+        _nearest(k), "idx long, nb_idx long, distance double")
+    w = Window.partitionBy("idx").orderBy("distance", "nb_idx")
+    return near.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select(
+        "idx", "rank", "nb_idx", "distance")
 
 
 def smote(df: DataFrame, features: list[str], label: str = "label", k: int = 5, seed: int = SEED,
-          id_col: str = "row_id") -> DataFrame:
+          id_cols: tuple[str, ...] = ("order_id", "product_id")) -> DataFrame:
     """Oversample the minority class to the majority size (I4).
 
-    ``df`` has a unique 64-bit ``id_col``, numeric ``features`` and a 0/1
-    ``label``.  Returns the original rows plus synthetic ones, with
-    ``is_synthetic``; features NULL -> 0 first, as the reference fills them.
+    ``df`` has unique ``id_cols``, numeric ``features`` and a 0/1 ``label``.
+    Returns the original rows plus synthetic ones, which have NULL keys, their
+    number in ``synthetic_no`` and ``is_synthetic``; features NULL -> 0 first,
+    as the reference fills them.  The neighbours used are the k nearest, or
+    all others where there are no more; a single minority row is repeated.
     """
-    spark = df.sparkSession
-    base = df.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features],
+    spark, keys = df.sparkSession, list(id_cols)
+    base = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features],
                      F.col(label).cast("int").alias("label"))
+    plain = base.withColumn("is_synthetic", F.lit(False)).withColumn("synthetic_no", F.lit(None).cast("long"))
     counts = {r["label"]: r["n"] for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
-        return base.withColumn("is_synthetic", F.lit(False))
+        return plain
     minority_label = min(counts, key=lambda c: (counts[c], c))
     m, big = counts[minority_label], max(counts.values())
-    if m < k + 1:
-        raise ValueError(f"SMOTE needs at least {k + 1} minority rows, got {m}")
-    g = big - m
-    minority = number_by_hash(
-        base.where(F.col("label") == minority_label).select(F.col(id_col).alias("row_id"),
-                                                             F.array(*features).alias("x")), "row_id"
-    )
-    from cartwise.session import materialize
-
-    minority = materialize(minority, "smote-minority")
-    nbrs = materialize(minority_neighbors(minority, k, dim=len(features)), "smote-knn")
-    n_found = nbrs.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_nb"))
-    syn = spark.range(g).withColumnRenamed("id", "s").withColumn("idx", F.col("s") % m)
-    syn = syn.join(minority.select("idx", "row_id", F.col("x").alias("bx")), "idx")
-    syn = syn.join(n_found, "row_id").withColumn(
-        "rank", (F.floor(unit_hash(F.lit("n"), "s", seed=seed) * F.col("n_nb")) + 1).cast("int")
+    minority = base.where(F.col("label") == minority_label).select(*keys, F.array(*features).alias("x"))
+    minority = materialize(number_by_hash(minority, keys).select("idx", "x"), "smote-minority")
+    nbrs = materialize(minority_neighbors(minority, k), "smote-knn")
+    n_found = nbrs.groupBy("idx").agg(F.count(F.lit(1)).alias("n_nb"))
+    syn = spark.range(big - m).withColumnRenamed("id", "s").withColumn("idx", F.col("s") % m)
+    syn = syn.join(minority.select("idx", F.col("x").alias("bx")), "idx")
+    syn = syn.join(n_found, "idx", "left").withColumn(
+        "rank", (F.floor(unit_hash(F.lit("n"), "s", seed=seed) * F.coalesce("n_nb", F.lit(0))) + 1).cast("int")
     )
-    syn = syn.join(nbrs.select("row_id", "rank", "nb_id"), ["row_id", "rank"])
-    syn = syn.join(minority.select(F.col("row_id").alias("nb_id"), F.col("x").alias("nx")), "nb_id")
+    syn = syn.join(nbrs.select("idx", "rank", "nb_idx"), ["idx", "rank"], "left")
+    syn = syn.join(minority.select(F.col("idx").alias("nb_idx"), F.col("x").alias("nx")), "nb_idx", "left")
     u = unit_hash(F.lit("u"), "s", seed=seed)
-    point = F.zip_with("bx", "nx", lambda a, b: a + u * (b - a))
-    syn = syn.select((-(F.col("s") + 1)).alias(id_col), point.alias("p"))
-    syn = syn.select(id_col, *[F.col("p")[i].alias(c) for i, c in enumerate(features)],
-                     F.lit(minority_label).alias("label"), F.lit(True).alias("is_synthetic"))
-    return base.withColumn("is_synthetic", F.lit(False)).unionByName(syn)
+    point = F.zip_with("bx", F.coalesce("nx", "bx"), lambda a, b: a + u * (b - a))
+    syn = syn.select("s", point.alias("p"))
+    none = [F.lit(None).cast(base.schema[c].dataType).alias(c) for c in keys]
+    values = [F.col("p")[i].alias(c) for i, c in enumerate(features)]
+    parts = [plain, syn.select(*none, *values, F.lit(minority_label).alias("label"), F.lit(True).alias("is_synthetic"),
+                               F.col("s").alias("synthetic_no"))]
+    return reduce(DataFrame.unionByName, parts)

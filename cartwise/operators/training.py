@@ -34,6 +34,18 @@ RF_GRID = {
 }
 
 
+# Labelled rows a model is fitted on: at most this many of each class, those with the smallest key hash.
+LABELLED_ROWS = 4000
+
+
+def labelled_rows(lines: DataFrame, keys: list[str], label: str = "reordered", n: int = LABELLED_ROWS,
+                  seed: int = SEED) -> DataFrame:
+    """The bounded set of labelled rows for a fit: up to ``n`` of each class over all lines, ties by key."""
+    parts = [lines.where(F.col(label) == y).withColumn("_h", unit_hash(*keys, seed=seed)).orderBy("_h", *keys).limit(n)
+             for y in (0, 1)]
+    return parts[0].unionByName(parts[1]).drop("_h")
+
+
 def available_features(df: DataFrame, wanted: list[str]) -> tuple[list[str], list[str]]:
     """(present, missing) feature names."""
     present = [c for c in wanted if c in df.columns]
@@ -175,9 +187,10 @@ def rf_random_search(train: DataFrame, features: list[str], n_iter: int = 10, fo
     return model.bestModel, table
 
 
-def split(df: DataFrame, test_size: float = 0.2, seed: int = SEED, id_col: str = "row_id") -> DataFrame:
-    """is_train by hash of the row id."""
-    return df.withColumn("is_train", unit_hash(F.lit("split"), id_col, seed=seed) < F.lit(1.0 - test_size))
+def split(df: DataFrame, test_size: float = 0.2, seed: int = SEED,
+          keys: tuple[str, ...] = ("order_id", "product_id", "synthetic_no")) -> DataFrame:
+    """is_train by hash of the row's keys, NULL ones left out."""
+    return df.withColumn("is_train", unit_hash(F.lit("split"), *keys, seed=seed) < F.lit(1.0 - test_size))
 
 
 def save_model(model, path: str, meta: DataFrame | None = None) -> None:

@@ -25,7 +25,6 @@ from cartwise.operators import (
     pairs,
     prep,
     recommend,
-    sampling,
     similarity,
     training,
 )
@@ -40,7 +39,7 @@ def run_pipeline(
     spark: SparkSession,
     tables: dict[str, DataFrame],
     out_dir: str | None = None,
-    fraction: float = 0.02,
+    labelled_rows: int = training.LABELLED_ROWS,
     min_support: int = 5,
     pair_mode: str = "directed",
     max_orders: int | None = None,
@@ -64,7 +63,6 @@ def run_pipeline(
     # 1 preprocessing
     merged = step("merge", lambda: materialize(prep.merge_all(tables)[0], "p-merged"))
     feats = step("features", lambda: materialize(prep.add_base_features(prep.impute_missing(merged)), "p-features"))
-    sampled = sampling.hash_sample(feats, fraction, KEYS).withColumn("row_id", F.xxhash64(*KEYS))
 
     # 2 enrichment side: category requests for all products (+ parsed replies if given)
     prods = prep.attach_prices(
@@ -89,7 +87,7 @@ def run_pipeline(
 
     # 4 enhanced lines
     bm = scored.select("product_id", "basket_expansion_score", "cross_sell_strength", "avg_basket_size_with_product")
-    enh = sampled
+    enh = feats
     if cats is not None:
         enh = enh.join(cats, "product_id", "left")
     enh = enh.join(sim, "product_id", "left").join(cent, "product_id", "left").join(bm, "product_id", "left")
@@ -102,8 +100,8 @@ def run_pipeline(
     preds = {}
     for which, fl in (("base", training.BASE_FEATURES), ("enhanced", training.BASE_FEATURES + training.ENHANCED_FEATURES)):
         def fit(fl=fl, which=which):
-            m = training.training_matrix(enh, fl).withColumn("row_id", F.xxhash64(*KEYS))
-            data = materialize(training.split(balance.smote(m, fl)), f"p-balanced-{which}")
+            m = training.training_matrix(training.labelled_rows(enh, KEYS, n=labelled_rows), fl)
+            data = materialize(training.split(balance.smote(m, fl, id_cols=tuple(KEYS))), f"p-balanced-{which}")
             model = training.train_gbt(data.where("is_train"), fl, **gp)
             test = data.where(~F.col("is_train"))
             pred = materialize(training.predict(model, test, fl), f"p-pred-{which}")
@@ -119,12 +117,12 @@ def run_pipeline(
 
     # 6 revenue comparison on the enhanced model's test rows (features read from the row)
     rows = preds["enhanced"].select(
-        "row_id", "label", F.col("score").alias("ml_probability"), "price", "basket_expansion_score",
+        *KEYS, "synthetic_no", "label", F.col("score").alias("ml_probability"), "price", "basket_expansion_score",
         "cross_sell_strength")
     hy = recommend.hybrid_scores(rows)
     rev = step("revenue", lambda: materialize(
-        recommend.revenue_topk(hy, "ml_probability", top_k).unionByName(
-            recommend.revenue_topk(hy, "hybrid_score", top_k)), "p-revenue"))
+        recommend.revenue_topk(hy, "ml_probability", top_k, (*KEYS, "synthetic_no")).unionByName(
+            recommend.revenue_topk(hy, "hybrid_score", top_k, (*KEYS, "synthetic_no"))), "p-revenue"))
     res["revenue_impact"] = recommend.revenue_impact(rev)
 
     # 7 cross-sell for every order

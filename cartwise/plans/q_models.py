@@ -7,9 +7,10 @@ correctness run stays short; the library defaults are the reference's
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cartwise.operators import balance, evaluation, graph, sampling, similarity, training
+from cartwise.operators import balance, evaluation, graph, similarity, training
 from cartwise.operators.enrich import parse_category_replies
 from cartwise.plans.oracle import h, round_cols, sql
 from cartwise.plans.q_enrich import category_members
@@ -20,20 +21,20 @@ from cartwise.plans.registry import register
 from cartwise.session import materialize
 from cartwise.sources import testdata
 
-FRACTION = 0.02
+KEYS = ["order_id", "product_id"]
+ROW_KEYS = (*KEYS, "synthetic_no")
 QUERY_GBT = {"maxIter": 20, "maxDepth": 5}
+# Stages and fits shared by the model queries, by the fingerprint of the input files.
 _MEMO: dict = {}
 
 
-def sampled(spark, sf_dir):
-    f = features(spark, sf_dir)
-    return sampling.hash_sample(f, FRACTION, ["order_id", "product_id"]).withColumn(
-        "row_id", F.xxhash64("order_id", "product_id"))
+def _key(name, spark, sf_dir, *more):
+    return (name, spark.sparkContext.applicationId, testdata.fingerprint(spark, sf_dir), *more)
 
 
 def enhanced(spark, sf_dir):
-    """Sample ⟕ category ⟕ similarity ⟕ centrality ⟕ basket metrics; graph-side NULL -> 0."""
-    key = ("enhanced", spark.sparkContext.applicationId, sf_dir)
+    """Lines ⟕ category ⟕ similarity ⟕ centrality ⟕ basket metrics; graph-side NULL -> 0."""
+    key = _key("enhanced", spark, sf_dir)
     if key in _MEMO:
         return _MEMO[key]
     members, _ = category_members(spark, sf_dir)
@@ -43,7 +44,7 @@ def enhanced(spark, sf_dir):
     bm = scored(spark, sf_dir).select("product_id", "basket_expansion_score", "cross_sell_strength",
                                       "avg_basket_size_with_product")
     out = (
-        sampled(spark, sf_dir).join(cats, "product_id", "left").join(sim, "product_id", "left")
+        features(spark, sf_dir).join(cats, "product_id", "left").join(sim, "product_id", "left")
         .join(cent, "product_id", "left").join(bm, "product_id", "left")
     )
     out = out.fillna(0, subset=[c for c in training.ENHANCED_FEATURES if c in out.columns])
@@ -52,13 +53,21 @@ def enhanced(spark, sf_dir):
     return out
 
 
+def labelled(spark, sf_dir):
+    return training.labelled_rows(features(spark, sf_dir), KEYS)
+
+
+LABELLED = f"""QUALIFY row_number() OVER (PARTITION BY reordered
+  ORDER BY {h('order_id', 'product_id')}, order_id, product_id) <= {training.LABELLED_ROWS}"""
+
+
 @register("training_matrix_base", sql(round_cols(f"""
 SELECT order_id, product_id, {', '.join(f'CAST(coalesce({c}, 0) AS DOUBLE) AS {c}' for c in training.BASE_FEATURES)},
        reordered AS label
-FROM r_features WHERE {h('order_id', 'product_id')} < {FRACTION}""", training.BASE_FEATURES)))
+FROM r_features {LABELLED}""", training.BASE_FEATURES)))
 def q_training_matrix_base(spark, sf_dir):
-    """L1 + C2: the 12 base features of the 2 % sample, NULL -> 0, label."""
-    return training.training_matrix(sampled(spark, sf_dir), training.BASE_FEATURES)
+    """L1 + C2: the 12 base features of the labelled rows, NULL -> 0, label."""
+    return training.training_matrix(labelled(spark, sf_dir), training.BASE_FEATURES)
 
 
 def _enhanced_sql_parts():
@@ -78,8 +87,7 @@ r_enh AS (
   FROM r_features f LEFT JOIN r_cats c ON f.product_id = c.product_id
   LEFT JOIN r_simf s ON f.product_id = s.product_id
   LEFT JOIN r_cent ce ON f.product_id = ce.product_id
-  LEFT JOIN r_score sc ON f.product_id = sc.product_id
-  WHERE {h('f.order_id', 'f.product_id')} < {FRACTION})""")
+  LEFT JOIN r_score sc ON f.product_id = sc.product_id)""")
     return ctes, FEATURE_DOUBLES + training.ENHANCED_FEATURES
 
 
@@ -89,23 +97,21 @@ _ALL_FEATURES = training.BASE_FEATURES + training.ENHANCED_FEATURES
 
 @register("enhanced_lines", sql(round_cols("SELECT * FROM r_enh", _ENH_DOUBLES), _ENH_CTES))
 def q_enhanced_lines(spark, sf_dir):
-    """The sample with all enrichment and graph features merged."""
-    return enhanced(spark, sf_dir).drop("row_id")
+    """Every line with all enrichment and graph features merged."""
+    return enhanced(spark, sf_dir)
 
 
 @register("training_matrix", sql(round_cols(f"""
 SELECT order_id, product_id, {', '.join(f'CAST(coalesce({c}, 0) AS DOUBLE) AS {c}' for c in _ALL_FEATURES)},
        reordered AS label
-FROM r_enh""", _ALL_FEATURES), _ENH_CTES))
+FROM r_enh {LABELLED}""", _ALL_FEATURES), _ENH_CTES))
 def q_training_matrix(spark, sf_dir):
-    """L1: the 21 enhanced features, NULL -> 0, label."""
-    return training.training_matrix(enhanced(spark, sf_dir), training.BASE_FEATURES + training.ENHANCED_FEATURES)
+    """L1: the 21 enhanced features of the labelled rows, NULL -> 0, label."""
+    return matrix(spark, sf_dir, training.BASE_FEATURES + training.ENHANCED_FEATURES)
 
 
-def _minority(spark, sf_dir):
-    m = training.training_matrix(sampled(spark, sf_dir), training.BASE_FEATURES)
-    m = m.withColumn("row_id", F.xxhash64("order_id", "product_id"))
-    return m
+def matrix(spark, sf_dir, feats):
+    return training.training_matrix(training.labelled_rows(enhanced(spark, sf_dir), KEYS), feats)
 
 
 _DIST = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in training.BASE_FEATURES)
@@ -119,31 +125,26 @@ SELECT a.order_id, a.product_id, b.order_id AS nb_order_id, b.product_id AS nb_p
 FROM m a JOIN m b ON NOT (a.order_id = b.order_id AND a.product_id = b.product_id)
 QUALIFY rank <= 5""", ["distance"]), f"""
 m AS (SELECT order_id, product_id, {', '.join(f'CAST(coalesce({c}, 0) AS DOUBLE) AS {c}' for c in training.BASE_FEATURES)}
-      FROM r_features WHERE {h('order_id', 'product_id')} < {FRACTION} AND reordered = 1)"""))
+      FROM (SELECT * FROM r_features {LABELLED}) WHERE reordered = 1)"""))
 def q_smote_neighbors(spark, sf_dir):
     """I4 neighbour step: 5 nearest other minority rows (exact), ties by key."""
-    m = _minority(spark, sf_dir).where(F.col("label") == 1)
-    keyed = materialize(m.select("row_id", "order_id", "product_id",
-                                 F.array(*training.BASE_FEATURES).alias("x")), "minority")
-    nb = balance.minority_neighbors(keyed.select("row_id", "x"), 5, dim=len(training.BASE_FEATURES))
-    a = keyed.select("row_id", "order_id", "product_id")
-    b = keyed.select(F.col("row_id").alias("nb_id"), F.col("order_id").alias("nb_order_id"),
-                     F.col("product_id").alias("nb_product_id"))
-    # neighbour ranks from the hash-id order are re-ranked by (distance, key) to match the key-based tie rule
-    out = nb.join(a, "row_id").join(b, "nb_id")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("order_id", "product_id").orderBy("distance", "nb_order_id", "nb_product_id")
-    return out.select("order_id", "product_id", "nb_order_id", "nb_product_id", "distance").withColumn(
-        "rank", F.row_number().over(w).cast("int"))
+    m = training.training_matrix(labelled(spark, sf_dir).where("reordered = 1"), training.BASE_FEATURES)
+    # a bounded number of rows (LABELLED_ROWS), numbered by key: ties go by key
+    m = m.select(*KEYS, F.array(*training.BASE_FEATURES).alias("x"),
+                 F.row_number().over(Window.orderBy(*KEYS)).cast("long").alias("idx"))
+    m = materialize(m, "minority")
+    nb = balance.minority_neighbors(m.select("idx", "x"), 5)
+    a = m.select("idx", *KEYS)
+    b = m.select(F.col("idx").alias("nb_idx"), F.col("order_id").alias("nb_order_id"),
+                 F.col("product_id").alias("nb_product_id"))
+    return nb.join(a, "idx").join(b, "nb_idx").select(*KEYS, "nb_order_id", "nb_product_id", "rank", "distance")
 
 
 def balanced(spark, sf_dir, feats):
-    key = ("balanced", spark.sparkContext.applicationId, sf_dir, tuple(feats))
+    key = _key("balanced", spark, sf_dir, tuple(feats))
     if key not in _MEMO:
-        m = training.training_matrix(enhanced(spark, sf_dir), feats).withColumn(
-            "row_id", F.xxhash64("order_id", "product_id"))
-        _MEMO[key] = materialize(training.split(balance.smote(m, feats)), "balanced")
+        data = balance.smote(matrix(spark, sf_dir, feats), feats, id_cols=tuple(KEYS))
+        _MEMO[key] = materialize(training.split(data), "balanced")
     return _MEMO[key]
 
 
@@ -151,8 +152,7 @@ def balanced(spark, sf_dir, feats):
 SELECT label, false AS is_synthetic, n FROM c
 UNION ALL
 SELECT (SELECT label FROM c ORDER BY n, label LIMIT 1), true, (SELECT max(n) - min(n) FROM c)""",
-    f"c AS (SELECT reordered AS label, count(*) AS n FROM r_features "
-    f"WHERE {h('order_id', 'product_id')} < {FRACTION} GROUP BY reordered)"))
+    f"c AS (SELECT reordered AS label, count(*) AS n FROM (SELECT * FROM r_features {LABELLED}) GROUP BY reordered)"))
 def q_smote_balance(spark, sf_dir):
     """I4: class counts before/after SMOTE (equal after)."""
     b = balanced(spark, sf_dir, training.BASE_FEATURES)
@@ -160,7 +160,7 @@ def q_smote_balance(spark, sf_dir):
 
 
 def fitted(spark, sf_dir, which):
-    key = ("gbt", which, spark.sparkContext.applicationId, sf_dir)
+    key = _key("gbt", spark, sf_dir, which)
     if key not in _MEMO:
         feats = training.BASE_FEATURES if which == "base" else training.BASE_FEATURES + training.ENHANCED_FEATURES
         data = balanced(spark, sf_dir, feats)
@@ -243,7 +243,7 @@ def model_scored_rows(spark, sf_dir):
     """N3 with the enhanced model's probability on its test rows, features read from the row (Q13)."""
     _, _, pred = fitted(spark, sf_dir, "enhanced")
     return pred.select(
-        "row_id", "label", F.col("score").alias("ml_probability"), "price", "basket_expansion_score",
+        *KEYS, "synthetic_no", "label", F.col("score").alias("ml_probability"), "price", "basket_expansion_score",
         "cross_sell_strength")
 
 
@@ -253,8 +253,8 @@ def q_performance_summary(spark, sf_dir):
     from cartwise.operators import recommend
 
     hy = recommend.hybrid_scores(model_scored_rows(spark, sf_dir))
-    rev = materialize(recommend.revenue_topk(hy, "ml_probability", 1000).unionByName(
-        recommend.revenue_topk(hy, "hybrid_score", 1000)), "model-revenue")
+    rev = materialize(recommend.revenue_topk(hy, "ml_probability", 1000, ROW_KEYS).unionByName(
+        recommend.revenue_topk(hy, "hybrid_score", 1000, ROW_KEYS)), "model-revenue")
     imp = recommend.revenue_impact(rev)
     comp = comparison(spark, sf_dir)
     pick = lambda df, key, col, val: df.where(F.col(key) == val).select(col).scalar()

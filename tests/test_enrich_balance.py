@@ -1,4 +1,4 @@
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from cartwise.operators import balance, enrich
@@ -51,18 +51,36 @@ def test_resume_adds_nothing_twice(spark):
     assert req2.count() == 0 and members2.count() == 0
 
 
-def test_smote_needs_k_plus_one(spark):
+def test_smote_with_few_minority_rows(spark):
     rows = [(i, float(i), 0) for i in range(20)] + [(100, 1.0, 1), (101, 2.0, 1)]
     df = spark.createDataFrame(rows, "row_id long, f double, label int")
-    with pytest.raises(ValueError):
-        balance.smote(df, ["f"])
+    for part, low, high in ((df, 1.0, 2.0), (df.where("row_id <> 101"), 1.0, 1.0)):
+        out = balance.smote(part, ["f"], id_cols=("row_id",))
+        assert out.where("label = 1").count() == 20
+        assert out.where("label = 1").agg(F.min("f"), F.max("f")).first()[0] >= low
+        assert out.where("label = 1").agg(F.max("f")).first()[0] <= high
 
 
 def test_smote_balances_on_segments(spark):
     rows = [(i, float(i), float(-i), 0) for i in range(40)] + [(100 + i, 100.0 + i, 5.0, 1) for i in range(8)]
     df = spark.createDataFrame(rows, "row_id long, f double, g double, label int")
-    out = balance.smote(df, ["f", "g"])
+    out = balance.smote(df, ["f", "g"], id_cols=("row_id",))
     counts = {r.label: r.n for r in out.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts[0] == counts[1] == 40
     syn = out.where("is_synthetic").collect()
     assert all(100.0 <= r.f <= 107.0 and r.g == 5.0 for r in syn)
+
+
+def test_neighbours_are_exact_for_large_offsets_and_many_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = np.column_stack([1e9 + rng.standard_normal(300), rng.standard_normal(300) * 3])
+    x[10] = x[11] = x[12]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, x array<double>")
+    expect = set()
+    for i in range(300):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((np.arange(300), d)) if j != i][:5]
+        expect |= {(i, r + 1, int(j)) for r, j in enumerate(order)}
+    for block in (4096, 40):
+        got = {(r.idx, r.rank, r.nb_idx) for r in balance.minority_neighbors(df, 5, block).collect()}
+        assert got == expect

@@ -4,7 +4,7 @@ from cartwise.sources import testdata
 
 def test_pipeline_end_to_end_smallest(spark, tmp_path):
     t = testdata.load_retail(spark, "/root/testdata/sf0.001")
-    res = run_pipeline(spark, t, out_dir=str(tmp_path / "out"), fraction=0.2, min_support=2, betweenness_k=50,
+    res = run_pipeline(spark, t, out_dir=str(tmp_path / "out"), min_support=2, betweenness_k=50,
                        pagerank_iter=10, gbt_params={"maxIter": 3, "maxDepth": 3})
     assert res["recommendations"].count() > 0
     assert {r.metric for r in res["model_comparison"].collect()} == {"accuracy", "auc"}
