@@ -25,7 +25,7 @@ HEADLINE = [
     "frequent_pairs",
     "edges",
     "degree_centrality",
-    "pagerank",
+    "pagerank_converged",
     "basket_expansion_score",
     "cross_sell_topn",
     "cross_sell_user_topn",
@@ -47,7 +47,7 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
 
     from cartwise.plans import registry
-    from cartwise.session import local_session
+    from cartwise.session import delete_stages, local_session
     from cartwise.sources import testdata
 
     spark = local_session(cpus, shuffle_partitions=int(cpus))
@@ -84,6 +84,7 @@ def main() -> None:
                         "pipeline_settings": "all orders mined, support 2, betweenness k=1000, GBT 50 rounds depth 6"}
         except Exception as e:  # noqa: BLE001
             pipeline = {"pipeline_error": f"{type(e).__name__}: {str(e)[:200]}"}
+    delete_stages(spark)
     spark.stop()
 
     duck = {}

@@ -103,12 +103,31 @@ def feature_importance(model, features: list[str]) -> DataFrame:
 
     spark = SparkSession.getActiveSession()
     vals = model.featureImportances.toArray().tolist()
-    df = spark.createDataFrame([(f, float(v)) for f, v in zip(features, vals)], "feature string, importance double")
-    return df.withColumn(
+    return with_category(
+        spark.createDataFrame([(f, float(v)) for f, v in zip(features, vals)], "feature string, importance double"))
+
+
+def with_category(importance: DataFrame) -> DataFrame:
+    """Adds the category of each feature."""
+    return importance.withColumn(
         "category", F.when(F.col("feature").isin(ENHANCED_FEATURES), F.lit("Enhanced")).otherwise(F.lit("Traditional"))
     )
 
 
+def class_spread(matrix: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """A model-free importance per feature: distance of the class means over the feature's range, with category.
+
+    One aggregate over the rows; 0 where a feature is constant or a class is missing.
+    """
+    def of(c):
+        mean = [F.avg(F.when(F.col(label) == y, F.col(c))) for y in (0, 1)]
+        spread = F.try_divide(F.abs(mean[1] - mean[0]), F.max(c) - F.min(c))
+        return F.struct(F.lit(c).alias("feature"), F.coalesce(spread, F.lit(0.0)).alias("importance"))
+
+    row = matrix.agg(F.array(*[of(c) for c in features]).alias("all"))
+    return with_category(row.select(F.explode("all").alias("f")).select("f.*"))
+
+
 def importance_by_category(importance: DataFrame) -> DataFrame:
     """Per category: summed importance, share of the total in percent, feature count."""
     total = importance.agg(F.sum("importance")).scalar()

@@ -75,4 +75,4 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load_all() -> None:
     """Import every query module so that it registers itself."""
-    from cartwise.plans import q_enrich, q_features, q_graph, q_models, q_prep, q_recommend  # noqa: F401
+    from cartwise.plans import q_enrich, q_features, q_graph, q_models, q_prep, q_recommend, q_reports  # noqa: F401
