@@ -65,8 +65,8 @@ def _timed(rows: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def _finish(k: int) -> Column:
-    """Virtual finish time of a document's copy in round ``k`` over its source."""
-    return (F.col("passed") + F.lit(k) * F.col("source_size")) / F.col("target")
+    """Virtual finish time of a document's copy in round ``k`` over its source; none without a target."""
+    return F.try_divide(F.col("passed") + F.lit(k) * F.col("source_size"), F.col("target"))
 
 
 def _edge(timed: DataFrame, budget: int, repeat: int) -> tuple | None:
