@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartwise.session import by_range
+
 # Request texts of the three enrichment kinds.
 PRICE_PROMPT = (
     "You are an e-commerce expert. Estimate the price in USD for each product below. "
@@ -32,9 +34,6 @@ DEFAULT_ATTRIBUTES = {"premium_score": 5.0, "necessity_score": 5.0, "impulse_sco
 # Products per request.
 PRICE_BATCH = 500
 CATEGORY_BATCH = 20
-# Keys per numbering bucket: ids in one bucket are distinct integers, so a
-# bucket never holds more than this many rows.
-_ID_BUCKET = 1 << 16
 
 ATTRIBUTE_SCHEMA = T.StructType([
     T.StructField("premium_score", T.DoubleType()),
@@ -54,17 +53,12 @@ def pending(items: DataFrame, done: DataFrame | None, key: str = "product_id") -
 
 
 def number_rows(df: DataFrame, key: str = "product_id") -> DataFrame:
-    """Adds ``rn`` = 1-based rank of a unique integer ``key``, without a global window.
+    """Adds ``rn`` = 1-based rank of a unique ``key``, without a global window.
 
-    Keys fall into at most 65537 fixed ranges (width = max(65536, span / 65536),
-    from one min/max scalar); range sizes are prefix-summed over that bounded
-    table, and each range numbers its own rows with a window partitioned by
-    range.  Dense ids give at most 65536 rows per range.
+    Rows lie in ranges of about equal size (``by_range``); range sizes are
+    prefix-summed over that small table, and each range numbers its own rows.
     """
-    b = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi")).alias("b")).scalar()
-    lo = b.getField("lo")
-    width = F.greatest(F.lit(_ID_BUCKET), F.ceil((b.getField("hi") - lo + 1) / _ID_BUCKET))
-    b = df.withColumn("_bk", F.floor((F.col(key) - lo) / width))
+    b = by_range(df, key, name="_bk")
     sizes = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.select(
         "_bk",

@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Score buckets used to turn the global rank of AUC into per-bucket work.
-_AUC_BUCKETS = 1 << 16
+from cartwise.session import by_range
 
 
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
@@ -33,20 +32,15 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
 
     Per distinct score: positives P_s, negatives N_s and the negatives at
     lower scores B_s give AUC = sum P_s (B_s + N_s / 2) / (P N).  The prefix
-    sum B_s is distributed: scores fall into 65536 fixed buckets; bucket
-    totals are prefix-summed over that small table, and each bucket
-    prefix-sums its own distinct scores (a window partitioned by bucket).
+    sum B_s is distributed: distinct scores lie in ranges of about equal size
+    (``by_range``); range totals are prefix-summed over that small table, and
+    each range prefix-sums its own distinct scores.
     """
     per = df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("neg"),
     )
-    lo_hi = per.agg(F.struct(F.min("s").alias("lo"), F.max("s").alias("hi")).alias("b")).scalar()
-    lo, hi = lo_hi.getField("lo"), lo_hi.getField("hi")
-    width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    per = per.withColumn(
-        "bucket", F.least(F.floor((F.col("s") - lo) / width * _AUC_BUCKETS), F.lit(_AUC_BUCKETS - 1)).cast("int")
-    )
+    per = by_range(per, "s", name="bucket")
     bucket_neg = per.groupBy("bucket").agg(F.sum("neg").alias("bneg"))
     bucket_neg = bucket_neg.withColumn(
         "boff",

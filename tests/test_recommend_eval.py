@@ -46,3 +46,21 @@ def test_classification_report_zero_division(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "label int, prediction int")
     rep = {r["class"]: r for r in evaluation.classification_report(df).collect()}
     assert rep["1"].precision == 0.0 and rep["0"].recall == 1.0
+
+
+def test_auc_of_scores_in_a_narrow_band_with_an_outlier(spark):
+    rows = [(i % 2, 0.5 + i * 1e-12) for i in range(400)] + [(1, 1e9)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    expect = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    from cartwise.operators.evaluation import roc_auc
+
+    assert abs(roc_auc(df).first()["auc"] - expect) < 1e-12
+
+
+def test_rows_are_numbered_with_an_outlier_id(spark):
+    from cartwise.operators.enrich import number_rows
+
+    df = spark.range(0, 2000).unionByName(spark.createDataFrame([(2**55,)], "id long")).withColumnRenamed("id", "product_id")
+    got = {r.product_id: r.rn for r in number_rows(df).collect()}
+    assert got == {**{i: i + 1 for i in range(2000)}, 2**55: 2001}
