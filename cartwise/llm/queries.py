@@ -191,7 +191,7 @@ FROM d LEFT JOIN y ON d.doc_id = y.doc_id
 @query("op8_substring_dedup", SPAN_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows of all documents removed."""
-    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
 @query("op5_quality")

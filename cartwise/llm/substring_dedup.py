@@ -10,7 +10,7 @@ over all documents.  The graph is compacted before it is shuffled:
 2. Among the distinct paths, those whose minimizers occur in no other path
    (and once in their own) are nonbranching and are done: no edge of theirs
    is anywhere else.  The edges at branching minimizers are expanded and
-   joined one by one to find those that occur earlier.
+   grouped one by one to find those that occur earlier.
 3. Removed edges of one document that follow the same source coordinates
    close up to spans, and each span is verified word by word against the
    text at its source coordinates (BLAKE2b digests of both word sequences).
@@ -25,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise.llm.text import Words, _powers, gram_hash, mix64, slices, text_bytes
-from cartwise.session import materialize
 
 SPAN = 20
 #: Words of a minimizer; a window of SPAN words holds SPAN - ANCHOR + 1 of them.
 ANCHOR = 5
 #: One in so many minimizers starts a new path.
 MARK = 8
+#: Compressed text that is worked on at once.
+SLICE_BYTES = 400_000
 _NO_ID = (1 << 63) - 1
 _SECOND = 0xA0761D6478BD642F
 
@@ -99,14 +101,15 @@ class Edges:
         return out[0], out[1]
 
 
-def _map(df: DataFrame, schema: str, text: str, run_slice) -> DataFrame:
-    """Apply ``run_slice(batch, texts) -> columns`` to slices of the text of ``df``."""
+def _map(df: DataFrame, schema: str, run_slice) -> DataFrame:
+    """Apply ``run_slice(batch, texts) -> columns`` to slices of the packed texts of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            at = b.schema.get_field_index(text)
-            for part in slices(b, at):
-                columns = run_slice(part, text_bytes(part.column(at)))
+            at = b.schema.get_field_index("packed")
+            for part in slices(b, at, SLICE_BYTES):
+                columns = run_slice(part, [unpack(x) for x in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_pydict(columns)
 
     return df.mapInArrow(run, schema)
@@ -121,14 +124,24 @@ def _lists(batch: pa.RecordBatch, name: str) -> list[list[dict]]:
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, did (null id: last) and dup (0, 1, .. for different texts of one id).
+    """doc_id, packed text, did (null id: last) and dup (0, 1, .. for different texts of one id).
 
-    One hash exchange by did; every later pass over the texts reads it again.
+    One hash exchange by did carries the texts, compressed; every pass of the
+    same plan reads it again.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            for part in slices(b, 3):
+                packed = pa.array([pack(t) for t in text_bytes(part.column(3))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], packed], names=["doc_id", "did", "th", "packed"])
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("*", F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.xxhash64("text").alias("th"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.xxhash64("text").alias("th"), "text")
+    rows = rows.mapInArrow(run, "doc_id long, did long, th long, packed binary")
     order = Window.partitionBy("did").orderBy("doc_id", "th")
-    return rows.select("doc_id", "text", "did", (F.dense_rank().over(order) - 1).alias("dup"))
+    return rows.select("doc_id", "packed", "did", (F.dense_rank().over(order) - 1).alias("dup"))
 
 
 def _paths(base: DataFrame, span: int) -> DataFrame:
@@ -139,7 +152,7 @@ def _paths(base: DataFrame, span: int) -> DataFrame:
         return {"h1": h1, "h2": h2, "did": _column(batch, "did")[text], "dup": _column(batch, "dup")[text],
                 "start": e.start(e.path).astype(np.int32), "n": e.path_len.astype(np.int32)}
 
-    return _map(base.select("did", "dup", "text"), "h1 long, h2 long, did long, dup int, start int, n int", "text", run)
+    return _map(base.select("did", "dup", "packed"), "h1 long, h2 long, did long, dup int, start int, n int", run)
 
 
 def _minimizers(base: DataFrame, span: int) -> DataFrame:
@@ -156,11 +169,11 @@ def _minimizers(base: DataFrame, span: int) -> DataFrame:
         twice[order[again]] = True
         return {"low": low, "path": h1[path], "twice": twice}
 
-    return _map(base.select("did", "dup", "text"), "low long, path long, twice boolean", "text", run)
+    return _map(base.select("did", "dup", "packed"), "low long, path long, twice boolean", run)
 
 
 def _minimizers_of(base: DataFrame, span: int) -> DataFrame:
-    """(low, did, dup): the distinct minimizers of each document."""
+    """(low, did): the distinct minimizers of each document."""
 
     def run(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
         e = Edges(texts, span)
@@ -170,9 +183,9 @@ def _minimizers_of(base: DataFrame, span: int) -> DataFrame:
         new = np.ones(len(low), dtype=bool)
         new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
         low, text = low[new], text[new]
-        return {"low": low, "did": _column(batch, "did")[text], "dup": _column(batch, "dup")[text]}
+        return {"low": low, "did": _column(batch, "did")[text]}
 
-    return _map(base.select("did", "dup", "text"), "low long, did long, dup int", "text", run)
+    return _map(base.select("did", "dup", "packed"), "low long, did long", run)
 
 
 def _branch_edges(joined: DataFrame, span: int) -> DataFrame:
@@ -185,19 +198,52 @@ def _branch_edges(joined: DataFrame, span: int) -> DataFrame:
         did, dup = _column(batch, "did"), _column(batch, "dup")
         for t, (lows, gone) in enumerate(zip(_lists(batch, "lows"), _lists(batch, "gone"))):
             a, b = first[t], first[t + 1]
-            mine = np.array([x["low"] for x in lows if x["dup"] == dup[t]], dtype=np.int64)
-            if a == b or not len(mine):
+            if a == b or not lows:
                 continue
-            keep[a:b] = np.isin(e.low[a:b].view(np.int64), mine)
+            keep[a:b] = np.isin(e.low[a:b].view(np.int64), np.array(lows, dtype=np.int64))
             for x in gone:
                 if x["dup"] == dup[t]:
                     keep[a + x["start"] : a + x["start"] + x["n"]] = False
         at = np.flatnonzero(keep)
         h1, h2 = e.hashes(at, span)
         text = e.text[at]
-        return {"h1": h1, "h2": h2, "did": did[text], "dup": dup[text], "start": e.start(at).astype(np.int32)}
+        return _local_firsts(h1, h2, did[text], dup[text].astype(np.int32), e.start(at).astype(np.int32))
+
+    return _map(joined, "h1 long, h2 long, did long, dup int, start int, n int, sdid long, sdup int, sstart int", run)
 
-    return _map(joined, "h1 long, h2 long, did long, dup int, start int", "text", run)
+
+def _local_firsts(h1, h2, did, dup, start) -> dict:
+    """One row for the first place of each edge in this slice, and closed-up runs of the later places.
+
+    Later places need no global first to be known as repeats, so an edge that
+    very many documents share is one row per slice in the shuffle.  Runs have
+    their length n and the place of their first edge's repeat; firsts have none.
+    """
+    order = np.lexsort((start, dup, did, h2, h1))
+    h1, h2, did, dup, start = (x[order] for x in (h1, h2, did, dup, start))
+    new = np.ones(len(h1), dtype=bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    src = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
+    same = (did == did[src]) & (dup == dup[src]) & (start == start[src])  # a row that is stated twice
+    late = np.flatnonzero(~same)
+    late = late[np.lexsort((start[late], dup[late], did[late]))]
+    of = src[late]
+    cut = np.ones(len(late), dtype=bool)
+    for x, step in ((did[late], 0), (dup[late], 0), (start[late], 1), (did[of], 0), (dup[of], 0), (start[of], 1)):
+        cut[1:] &= x[1:] == x[:-1] + step
+    cut[1:] = ~cut[1:]
+    runs = np.flatnonzero(cut)
+    n = np.diff(np.concatenate((runs, [len(late)]))).astype(np.int32)
+    late, of, one = late[runs], of[runs], np.flatnonzero(new)
+    none = pa.nulls(len(one), pa.int32())
+    rows = np.concatenate((one, late))
+    return {
+        "h1": h1[rows], "h2": h2[rows], "did": did[rows], "dup": dup[rows], "start": start[rows],
+        "n": pa.concat_arrays([none, pa.array(n, pa.int32())]),
+        "sdid": pa.concat_arrays([none.cast(pa.int64()), pa.array(did[of], pa.int64())]),
+        "sdup": pa.concat_arrays([none, pa.array(dup[of], pa.int32())]),
+        "sstart": pa.concat_arrays([none, pa.array(start[of], pa.int32())]),
+    }
 
 
 def repeated_spans(base: DataFrame, span: int) -> DataFrame:
@@ -212,12 +258,16 @@ def repeated_spans(base: DataFrame, span: int) -> DataFrame:
         F.min("path").alias("p1"), F.max("path").alias("p2"), F.max("twice").alias("twice"))
     branching = branching.where("p1 <> p2 or twice").select("low")
     lows = _minimizers_of(base, span).join(branching, "low", "left_semi")
-    lows = lows.groupBy("did").agg(F.collect_list(F.struct("dup", "low")).alias("lows"))
+    lows = lows.groupBy("did").agg(F.collect_set("low").alias("lows"))
     left = gone.groupBy("did").agg(F.collect_list(F.struct("dup", "start", "n")).alias("gone"))
-    edges = _branch_edges(base.select("did", "dup", "text").join(lows, "did").join(left, "did", "left"), span)
-    first = edges.groupBy("h1", "h2").agg(F.min(here).alias("src"), F.count("*").alias("k")).where("k > 1")
-    again = edges.join(first.select("h1", "h2", "src"), ["h1", "h2"]).where(here != F.col("src"))
-
+    edges = _branch_edges(base.select("did", "dup", "packed").join(lows, "did").join(left, "did", "left"), span)
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = edges.repartition(parts, "h1", "h2")
+    single = edges.where("n is null").select(
+        "did", "dup", "start", F.min(here).over(Window.partitionBy("h1", "h2")).alias("src"))
+    local = edges.where("n is not null").select("did", "dup", "start", (F.col("n") + span - 1).alias("words"),
+                                                "sdid", "sdup", "sstart")
+    again = single.where(here != F.col("src"))
     shift = F.col("src.start") - F.col("start")
     again = again.select("did", "dup", "start", F.col("src.did").alias("sdid"), F.col("src.dup").alias("sdup"),
                          shift.alias("shift"))
@@ -229,7 +279,8 @@ def repeated_spans(base: DataFrame, span: int) -> DataFrame:
                            (F.col("start") + F.col("shift")).alias("sstart"))
     whole = gone.select("did", "dup", "start", (F.col("n") + span - 1).alias("words"), F.col("src.did").alias("sdid"),
                         F.col("src.dup").alias("sdup"), F.col("src.start").alias("sstart"))
-    return whole.unionByName(closed)
+    # one exchange that both users of the spans read
+    return whole.unionByName(closed).unionByName(local).repartition(parts)
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -253,10 +304,10 @@ def _source_digests(joined: DataFrame) -> DataFrame:
         return {k: pa.array(v, kind) for (k, v), kind in
                 zip(out.items(), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))}
 
-    return _map(joined, "sdid long, sdup int, sstart int, words int, digest binary", "text", run)
+    return _map(joined, "sdid long, sdup int, sstart int, words int, digest binary", run)
 
 
-def _apply(joined: DataFrame) -> DataFrame:
+def _apply(joined: DataFrame, with_text: bool) -> DataFrame:
     """Remove the spans whose words equal those at their source; the rest and its digest."""
 
     def run(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
@@ -273,14 +324,16 @@ def _apply(joined: DataFrame) -> DataFrame:
             kept.append(b" ".join(w for w, d in zip(words, drop.tolist()) if not d) if removed[-1] else b" ".join(words))
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         return {"doc_id": ids, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-                "kept": pa.array([k.decode() for k in kept], pa.string()),
+                "kept": pa.array([k.decode() if with_text else None for k in kept], pa.string()),
                 "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
 
-    return _map(joined, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string", "text", run)
+    return _map(joined, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string", run)
 
 
-def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the kept words), kept_sha256.
+def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text",
+          with_text: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the kept words, null unless
+    ``with_text``), kept_sha256.
 
     A word goes if a window of ``span`` words covers it whose sequence also
     starts earlier: in a smaller doc_id, or in the same document.  All windows
@@ -291,10 +344,10 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
     read; no rows give no rows.
     """
     base = _base(docs, id_col, text_col)
-    spans = materialize(repeated_spans(base, span), "repeated-spans")
+    spans = repeated_spans(base, span)
     asked = spans.select("sdid", "sdup", "sstart", "words").distinct()
     asked = asked.groupBy(F.col("sdid").alias("did")).agg(F.collect_list(F.struct("sdup", "sstart", "words")).alias("asked"))
-    known = _source_digests(base.select("did", "dup", "text").join(asked, "did"))
+    known = _source_digests(base.select("did", "dup", "packed").join(asked, "did"))
     checked = spans.join(known, ["sdid", "sdup", "sstart", "words"])
     checked = checked.groupBy("did").agg(F.collect_list(F.struct("dup", "start", "words", "digest")).alias("spans"))
-    return _apply(base.join(checked, "did", "left"))
+    return _apply(base.join(checked, "did", "left"), with_text)
