@@ -49,18 +49,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df, label: str = "stage"):
     """Write ``df`` as parquet into the reliable checkpoint folder and read it back.
 
     Used by the plans layer at stage boundaries that several consumers read
     (merged lines, edges, metrics): the work runs once, lineage is cut, a lost
     executor does not force recomputation, and later scans get column pruning.
+    The shuffle files of the job that wrote a stage are removed as it ends, not
+    when the driver happens to collect its garbage.
     """
     import uuid
 
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cartwise-stage/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     _STAGES.append(path)
     return spark.read.parquet(path)
 
