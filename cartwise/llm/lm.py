@@ -45,7 +45,7 @@ SMOOTH = 0.1
 #: The most frequent words, looked up in a broadcast; all others are joined.
 HEAVY_WORDS = 200_000
 #: Distinct words that a task holds before it passes its counts on, and subword cuts that it remembers.
-HELD_WORDS = 300_000
+HELD_WORDS = 400_000
 
 
 class Cuts(dict):
@@ -88,17 +88,23 @@ class Lexicon:
         self.member_share = by_class / by_class.sum(axis=1, keepdims=True)
 
 
-def _log_softmax(z: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log softmax of ``z`` at the chosen columns; ``z`` becomes the probabilities."""
+def _log_softmax(z: np.ndarray, rows: np.ndarray, chosen: np.ndarray, probabilities: bool) -> np.ndarray:
+    """Log softmax of ``z`` at the chosen columns; ``z`` is overwritten, by the probabilities if asked for."""
     if z.max() > EXPONENT or z.min() < -EXPONENT:
         z -= z.max(axis=1, keepdims=True)
     picked = z[rows, chosen]
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], np.float32)
-    z /= total[:, None]
+    if probabilities:
+        z /= total[:, None]
     return picked - np.log(total)
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w over the last axis, as one matrix product."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
+
+
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, start) of the windows over texts of these token counts; each token is scored in one window."""
     n = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
@@ -132,7 +138,8 @@ class Model:
         p = self.p
         e = p["emb"][x] + p["pos"]
         r = e[:, first:]
-        q, k, v = r @ (p["q"] * np.float32(1 / math.sqrt(DIM))), e @ p["k"], e @ p["v"]
+        q = _times(r, p["q"] * np.float32(1 / math.sqrt(DIM)))
+        k, v = _times(e, p["k"]), _times(e, p["v"])
         s = np.matmul(q, k.transpose(0, 2, 1))
         np.clip(s, -EXPONENT, EXPONENT, out=s)
         np.exp(s, out=s)
@@ -142,10 +149,13 @@ class Model:
             s *= weight
             weight = np.float32(1)
         c = np.matmul(s, v) * weight
-        h1 = r + c @ p["o"]
-        u = h1 @ p["w1"] + p["b1"]
-        a = np.maximum(u, 0)
-        h2 = h1 + a @ p["w2"]
+        h1 = _times(c, p["o"])
+        h1 += r
+        a = _times(h1, p["w1"])
+        a += p["b1"]
+        np.maximum(a, 0, out=a)
+        h2 = _times(a, p["w2"])
+        h2 += h1
         return {"e": e, "q": q, "k": k, "v": v, "s": s, "c": c, "h1": h1, "a": a, "h2": h2}
 
     def classes(self, h: np.ndarray, last: np.ndarray, cls: np.ndarray, grad: dict | None = None,
@@ -159,8 +169,19 @@ class Model:
         p = self.p
         group, member = np.divmod(cls, MEMBERS)
         at = np.arange(len(h))
-        z = h @ p["out"] + p["bias"] + p["pair"][last]
-        out = _log_softmax(z, at, group)
+        z = h @ p["out"]
+        z += p["bias"]
+        z += p["pair"][last]
+        out = _log_softmax(z, at, group, grad is not None)
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+        ranges = [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+        sorted_h, sorted_member = h[order], member[order]
+        zm = np.empty((len(h), MEMBERS), dtype=h.dtype)
+        for g, a, b in ranges:
+            np.matmul(sorted_h[a:b], p["mout"][g], out=zm[a:b])
+            zm[a:b] += p["mbias"][g]
+        out[order] += _log_softmax(zm, at, sorted_member, grad is not None)
         if grad is not None:
             z[at, group] -= 1
             z *= keep[:, None]
@@ -168,19 +189,11 @@ class Model:
             grad["pair"] = np.zeros_like(p["pair"])
             np.add.at(grad["pair"], last, z)
             grad["mout"], grad["mbias"] = np.zeros_like(p["mout"]), np.zeros_like(p["mbias"])
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=GROUPS))
-        for g, (a, b) in enumerate(zip(np.concatenate(([0], ends)), ends)):
-            if a < b:
-                rows = order[a:b]
-                mine = h[rows]
-                z = mine @ p["mout"][g] + p["mbias"][g]
-                out[rows] += _log_softmax(z, np.arange(b - a), member[rows])
-                if grad is not None:
-                    z[np.arange(b - a), member[rows]] -= 1
-                    z *= keep[rows][:, None]
-                    grad["mout"][g], grad["mbias"][g] = mine.T @ z, z.sum(axis=0)
-                    grad["h"][rows] += z @ p["mout"][g].T
+            zm[at, sorted_member] -= 1
+            zm *= keep[order][:, None]
+            for g, a, b in ranges:
+                grad["mout"][g], grad["mbias"][g] = sorted_h[a:b].T @ zm[a:b], zm[a:b].sum(axis=0)
+                grad["h"][order[a:b]] += zm[a:b] @ p["mout"][g].T
         return out
 
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, state: dict, rate: float) -> float:
@@ -274,6 +287,17 @@ def starts_word(cuts: Cuts) -> np.ndarray:
     return np.array([i < END and decode(i).startswith(b" ") for i in range(IDS)])
 
 
+_CUTS: dict[int, Cuts] = {}
+
+
+def cuts_of(vocabulary: bytes) -> Cuts:
+    """The cuts of a vocabulary; a worker keeps them from task to task."""
+    key = hash(vocabulary)
+    if key not in _CUTS:
+        _CUTS[key] = Cuts(vocabulary)
+    return _CUTS[key]
+
+
 def _ids(words: list[bytes], cuts: Cuts) -> np.ndarray:
     return np.append(np.frombuffer(b"".join(map(cuts.__getitem__, words)), dtype=np.uint16), np.uint16(END))
 
@@ -315,7 +339,7 @@ def id_counts(counts: DataFrame, vocabulary) -> np.ndarray:
     """How often each subword id occurs in the training words; IDS numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, total = Cuts(vocabulary.value), np.zeros(IDS, dtype=np.int64)
+        cuts, total = cuts_of(vocabulary.value), np.zeros(IDS, dtype=np.int64)
         for b in batches:
             cut = [np.frombuffer(cuts[w], dtype=np.uint16) for w in text_bytes(b.column(0))]
             n = np.repeat(b.column(1).to_numpy(), [len(c) for c in cut])
@@ -335,7 +359,7 @@ def fit(rows: DataFrame, counts: DataFrame, n_docs: int, vocabulary, train_docs:
     """Classes from all training documents, weights from a bounded sample of them."""
     share = id_counts(counts, vocabulary)
     share[END] += n_docs
-    cuts = Cuts(vocabulary.value)
+    cuts = cuts_of(vocabulary.value)
     model = Model(Lexicon(share, starts_word(cuts)))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sample = rows.where("not held_out").select(key.alias("key"), F.xxhash64("text").alias("tie"), "text")
@@ -371,7 +395,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     below = math.log10(n + SMOOTH * (v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, lm, top = Cuts(ranks.value), model.value, heavy.value
+        cuts, lm, top = cuts_of(ranks.value), model.value, heavy.value
         logs = {w: math.log10(c + SMOOTH) - below for w, c in top.items()}
         end = math.log10(n_docs + SMOOTH) - below
         for b in batches:
