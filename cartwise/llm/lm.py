@@ -10,8 +10,9 @@ other classes the ids follow their share in all training documents.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,25 +45,59 @@ PRIOR = 20
 SMOOTH = 0.1
 #: The most frequent words, looked up in a broadcast; all others are joined.
 HEAVY_WORDS = 200_000
-#: Distinct words that a task holds before it passes its counts on, and subword cuts that it remembers.
-HELD_WORDS = 400_000
+#: Distinct words that a task holds before it passes its counts on, and cuts that a worker remembers (twice).
+HELD_WORDS = 300_000
+HELD_CUTS = 250_000
 
 
 class Cuts(dict):
-    """word (bytes) -> its subword ids as uint16 bytes; forgets all when full."""
+    """word (bytes) -> its subword ids as uint16 bytes.
+
+    Holds two generations of words; a full one becomes the older and what is
+    still in use moves on from there, so frequent words are cut once.
+    """
 
     def __init__(self, vocabulary: bytes):
         super().__init__()
         self.vocabulary = vocabulary
         self.encode = encoder(vocabulary).encode_ordinary
+        self.older: dict[bytes, bytes] = {}
+        self.lengths: np.ndarray | None = None
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= HELD_WORDS:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("H", self.encode(" " + word.decode("utf-8", "replace"))).tobytes()
+        if len(self) >= HELD_CUTS:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.encode(" " + word.decode("utf-8", "replace")), dtype=np.uint16).tobytes()
         self[word] = ids
         return ids
 
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Cut all new words in one call, which is much cheaper than one by one.
+
+        A piece never reaches over the space in front of a word, so the ids
+        fall apart at the words' ends; words for which they do not are left
+        to be cut alone.
+        """
+        new = [w for w in words if w not in self and w not in self.older]
+        if not new:
+            return
+        if self.lengths is None:
+            decode = encoder(self.vocabulary).decode_single_token_bytes
+            self.lengths = np.array([len(decode(i)) for i in range(END)])
+        ids = np.array(self.encode(b"".join(b" " + w for w in new).decode("utf-8", "replace")), dtype=np.uint16)
+        ends, want = np.cumsum(self.lengths[ids]), np.cumsum([len(w) + 1 for w in new])
+        at = np.minimum(np.searchsorted(ends, want), len(ends) - 1)
+        if not (ends[at] == want).all():
+            return
+        raw, at = ids.tobytes(), (2 * (at + 1)).tolist()
+        if len(self) + len(new) > HELD_CUTS:
+            self.older = dict(self)
+            self.clear()
+        self.update((w, raw[a:b]) for w, a, b in zip(new, [0, *at], at))
+
 
 class Lexicon:
     """How the ids map to model inputs and output classes, from their counts in all training documents."""
@@ -341,7 +376,9 @@ def id_counts(counts: DataFrame, vocabulary) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, total = cuts_of(vocabulary.value), np.zeros(IDS, dtype=np.int64)
         for b in batches:
-            cut = [np.frombuffer(cuts[w], dtype=np.uint16) for w in text_bytes(b.column(0))]
+            words = text_bytes(b.column(0))
+            cuts.learn(words)
+            cut = [np.frombuffer(cuts[w], dtype=np.uint16) for w in words]
             n = np.repeat(b.column(1).to_numpy(), [len(c) for c in cut])
             if len(cut):
                 total += np.bincount(np.concatenate(cut), weights=n, minlength=IDS).astype(np.int64)
@@ -401,8 +438,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         for b in batches:
             for part in slices(b, 2):
                 n_tokens, n_known, base, others, times, ids = [], [], [], [], [], []
-                for text in text_bytes(part.column(2)):
-                    words = text.lower().split()
+                all_words = [t.lower().split() for t in text_bytes(part.column(2))]
+                cuts.learn(set().union(*all_words))
+                for words in all_words:
                     ids.append(_ids(words, cuts))
                     n_tokens.append(len(words) + 1)
                     seen, total, rest = (1 if n_docs else 0), end, []

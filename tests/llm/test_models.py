@@ -83,6 +83,15 @@ def test_lm_windows_and_probabilities():
     assert np.allclose(inside[inside > 0], 1)
 
 
+def test_cuts_at_once_and_alone():
+    with open(lm.VOCABULARY, "rb") as f:
+        vocabulary = f.read()
+    words = list(dict.fromkeys("the cat's 1234 x\u00a0y \u00a0z\u00a0 日本語 a--b don't :) é́ \u2003".encode().split()))
+    alone, once = lm.Cuts(vocabulary), lm.Cuts(vocabulary)
+    once.learn(words)
+    assert len(once) == len(words) and all(once[w] == alone[w] for w in words)
+
+
 def test_lm_gradients():
     """The analytic gradients agree with finite differences."""
     counts = np.zeros(lm.IDS)
