@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise.llm.text import Words, _powers, gram_hash, mix64, slices, text_bytes
+from cartwise.session import materialize
 
 SPAN = 20
 #: Words of a minimizer; a window of SPAN words holds SPAN - ANCHOR + 1 of them.
@@ -279,8 +280,7 @@ def repeated_spans(base: DataFrame, span: int) -> DataFrame:
                            (F.col("start") + F.col("shift")).alias("sstart"))
     whole = gone.select("did", "dup", "start", (F.col("n") + span - 1).alias("words"), F.col("src.did").alias("sdid"),
                         F.col("src.dup").alias("sdup"), F.col("src.start").alias("sstart"))
-    # one exchange that both users of the spans read
-    return whole.unionByName(closed).unionByName(local).repartition(parts)
+    return whole.unionByName(closed).unionByName(local)
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -344,7 +344,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
     read; no rows give no rows.
     """
     base = _base(docs, id_col, text_col)
-    spans = repeated_spans(base, span)
+    spans = materialize(repeated_spans(base, span), "repeated-spans")
     asked = spans.select("sdid", "sdup", "sstart", "words").distinct()
     asked = asked.groupBy(F.col("sdid").alias("did")).agg(F.collect_list(F.struct("sdup", "sstart", "words")).alias("asked"))
     known = _source_digests(base.select("did", "dup", "packed").join(asked, "did"))
