@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,12 @@ OWN_INPUTS, REST_INPUTS = 4000, 96
 GROUPS, MEMBERS, REST_CLASSES = 32, 32, 32
 CLASSES = GROUPS * MEMBERS
 STEPS, BATCH, RATE, SEED = 800, 192, 0.01, 5
-#: Documents that the attention layer is fitted on: those with the smallest MD5 of the id.
-TRAIN_DOCS = 400
+#: The training texts are dealt over shards of about SHARD_TOKENS.  In each of ROUNDS rounds every shard is trained on
+#: its next windows from common weights, whose changes are averaged; all windows are used once at least, those of a
+#: small corpus up to MOST_PASSES times, until there are STEPS batches.
+SHARD_TOKENS, ROUNDS, MOST_PASSES = 1_000_000, 8, 8
+#: Parts that the tasks' sums are cut into to be added up.
+BLOCKS = 64
 FOLDS, TEST_FOLD = 10, 0
 #: Exponents up to which sums of powers stay finite without a shift.
 EXPONENT = 60
@@ -122,6 +127,14 @@ class Lexicon:
         self.group_share = by_class.sum(axis=1) / by_class.sum()
         self.member_share = by_class / by_class.sum(axis=1, keepdims=True)
 
+    def encode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Model inputs and classes at each place, and the first place of each text, of texts with these ids."""
+        offsets = np.cumsum(lengths) - lengths
+        inputs = np.empty(len(ids), dtype=np.int32)
+        inputs[1:] = self.input[ids[:-1]]
+        inputs[offsets] = self.begin
+        return inputs, self.cls[ids], offsets
+
 
 def _log_softmax(z: np.ndarray, rows: np.ndarray, chosen: np.ndarray, probabilities: bool) -> np.ndarray:
     """Log softmax of ``z`` at the chosen columns; ``z`` is overwritten, by the probabilities if asked for."""
@@ -264,23 +277,56 @@ class Model:
             p[name] -= (rate * fix * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
         return loss
 
+    def pair_counts(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """How often each group follows each input in texts with these ids."""
+        inputs, classes, _ = self.lexicon.encode(ids, lengths)
+        cells = inputs.astype(np.int64) * GROUPS + classes // MEMBERS
+        return np.bincount(cells, minlength=(self.lexicon.begin + 1) * GROUPS).astype(np.float64)
+
+    def set_pairs(self, counts: np.ndarray) -> None:
+        """What a previous input says about the next group, from the counts of all training documents."""
+        groups = counts.reshape(self.lexicon.begin + 1, GROUPS)
+        share = self.lexicon.group_share
+        self.p["pair"] = np.log(
+            (groups / share + PRIOR) / (groups.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32)
+
+    def train(self, ids: np.ndarray, lengths: np.ndarray, shard: int, turn: int, rounds: int, passes: int) -> np.ndarray:
+        """Train on the windows of a shard that are up in this round, and put the weights back.
+
+        Returns the number of windows, and it times the weights' changes (by name, one after the other).
+        """
+        inputs, classes, offsets = self.lexicon.encode(ids, lengths)
+        text, start = windows(lengths)
+        before, state = {name: p.copy() for name, p in self.p.items()}, {}
+        order = np.random.default_rng([SEED, shard]).permutation(len(text))
+        each = -(-len(text) * passes // rounds)
+        mine = order[(turn * each + np.arange(each)) % len(text)]
+        for b in range(0, each, BATCH):
+            w = mine[b : b + BATCH]
+            at = (offsets[text[w]] + start[w])[:, None] + np.arange(WINDOW)
+            real = start[w][:, None] + np.arange(WINDOW) < lengths[text[w]][:, None]
+            at = np.minimum(at, len(ids) - 1)
+            self.step(inputs[at], classes[at], real, state, RATE * (1 - (turn + b / each) / rounds))
+        moved = [(self.p[name] - before[name]).ravel() for name in sorted(before)]
+        self.p = before
+        return each * np.concatenate([[1.0], *moved])
+
+    def move(self, total: np.ndarray) -> None:
+        """Move the weights by the mean of the shards' changes."""
+        at = 1
+        for name in sorted(self.p):
+            p = self.p[name]
+            self.p[name] = p + (total[at : at + p.size].reshape(p.shape) / total[0]).astype(np.float32)
+            at += p.size
+
     def fit(self, texts: list[np.ndarray], steps: int = STEPS, seed: int = SEED) -> None:
-        """Train on the ids of some texts (each with its end); windows are drawn with a fixed seed."""
+        """Train on the ids of texts at hand (each with its end); windows are drawn with a fixed seed."""
         if not texts:
             return
         rng, state = np.random.default_rng(seed), {}
-        y = np.concatenate(texts).astype(np.int64)
-        lengths = np.array([len(t) for t in texts])
-        x = self.lexicon.input[y]
-        offsets = np.cumsum(lengths) - lengths
-        inputs = np.concatenate(([0], x[:-1]))
-        inputs[offsets] = self.lexicon.begin
-        classes = self.lexicon.cls[y]
-        groups = np.zeros((self.lexicon.begin + 1, GROUPS))
-        np.add.at(groups, (inputs, classes // MEMBERS), 1)
-        share = self.lexicon.group_share
-        self.p["pair"] = np.log(
-            (groups / share + PRIOR) / (groups.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32)
+        y, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+        inputs, classes, offsets = self.lexicon.encode(y, lengths)
+        self.set_pairs(self.pair_counts(y, lengths))
         text, start = windows(lengths)
         for n in range(steps):
             pick = rng.integers(0, len(text), BATCH)
@@ -291,13 +337,7 @@ class Model:
 
     def log_probs(self, ids: np.ndarray, lengths: np.ndarray, batch: int = 512) -> np.ndarray:
         """Natural log probability of each text; ``ids`` are all texts' ids, each with its end."""
-        lex = self.lexicon
-        ids = ids.astype(np.int64)
-        offsets = np.cumsum(lengths) - lengths
-        inputs = np.empty(len(ids), dtype=np.int32)
-        inputs[1:] = lex.input[ids[:-1]]
-        inputs[offsets] = lex.begin
-        classes = lex.cls[ids]
+        inputs, classes, offsets = self.lexicon.encode(ids, lengths)
         token = np.zeros(len(ids))
         text, start = windows(lengths)
         for later in (False, True):
@@ -312,7 +352,7 @@ class Model:
                 h = self.forward(x, first)["h2"].reshape(-1, DIM)
                 to = at[:, first:].reshape(-1)[real]
                 token[to] = self.classes(h[real], x[:, first:].reshape(-1)[real], classes[to])
-        token += lex.inside[ids]
+        token += self.lexicon.inside[ids]
         return np.add.reduceat(token, offsets)
 
 
@@ -392,18 +432,88 @@ def id_counts(counts: DataFrame, vocabulary) -> np.ndarray:
     return out
 
 
-def fit(rows: DataFrame, counts: DataFrame, n_docs: int, vocabulary, train_docs: int = TRAIN_DOCS) -> Model:
-    """Classes from all training documents, weights from a bounded sample of them."""
+def shards(rows: DataFrame, vocabulary, n: int) -> DataFrame:
+    """shard, ids, lengths: the subword ids of all training texts, dealt over ``n`` shards by hash of the row."""
+    key = F.xxhash64("doc_id", "text")
+    dealt = rows.where("not held_out").select(key.alias("key"), F.pmod(key, F.lit(n)).cast("int").alias("shard"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = cuts_of(vocabulary.value)
+        for b in batches:
+            for part in slices(b, 2):
+                words = [t.lower().split() for t in text_bytes(part.column(2))]
+                cuts.learn(set().union(*words))
+                ids = pa.array([_ids(w, cuts).tobytes() for w in words], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], names=["key", "shard", "ids"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        texts = table.sort_by("key")["ids"].to_pylist()
+        lengths = np.array([len(t) // 2 for t in texts], dtype=np.int64)
+        return pa.table({"shard": table["shard"][:1], "ids": pa.array([b"".join(texts)], pa.binary()),
+                         "lengths": pa.array([lengths.tobytes()], pa.binary())})
+
+    return dealt.mapInArrow(cut, "key long, shard int, ids binary").groupBy("shard").applyInArrow(
+        pack, "shard int, ids binary, lengths binary")
+
+
+def _summed(rows: DataFrame, of, label: str) -> np.ndarray:
+    """The sum of ``of(ids, lengths, shard)``, a vector, over all shards.
+
+    Each task adds up its own shards and passes one vector on, in blocks; the
+    blocks are added up on the executors, in the order of the tasks, and one
+    vector reaches the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for shard, ids, lengths in zip(*(c.to_pylist() for c in b.columns)):
+                found = of(np.frombuffer(ids, dtype=np.uint16), np.frombuffer(lengths, dtype=np.int64), shard)
+                total = found if total is None else total + found
+        if total is not None:
+            parts = [p.tobytes() for p in np.array_split(total.astype(np.float64), BLOCKS)]
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array(range(BLOCKS), pa.int32()), "task": pa.array([task] * BLOCKS, pa.int32()),
+                "data": pa.array(parts, pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(d.as_py()) for d in table.sort_by("task")["data"])
+        return pa.table({"block": table["block"][:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    parts = rows.mapInArrow(run, "block int, task int, data binary").groupBy("block").applyInArrow(
+        add, "block int, data binary")
+    found = materialize(parts, label).toArrow().sort_by("block")
+    return np.frombuffer(b"".join(found["data"].to_pylist()))
+
+
+def fit(rows: DataFrame, counts: DataFrame, n_docs: int, vocabulary, shard_tokens: int = SHARD_TOKENS,
+        rounds: int = ROUNDS) -> Model:
+    """Classes, what an id says about the next group, and weights, all from all training documents.
+
+    The weights are trained where the shards are; one vector of changes a round reaches the driver.
+    """
     share = id_counts(counts, vocabulary)
     share[END] += n_docs
-    cuts = cuts_of(vocabulary.value)
-    model = Model(Lexicon(share, starts_word(cuts)))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sample = rows.where("not held_out").select(key.alias("key"), F.xxhash64("text").alias("tie"), "text")
-    thin = sample.select("key", "tie").orderBy("key", "tie").limit(train_docs)
-    texts = sample.join(F.broadcast(thin.distinct()), ["key", "tie"]).dropDuplicates(["key", "tie"])
-    texts = texts.select("key", "tie", "text").toArrow().sort_by([("key", "ascending"), ("tie", "ascending")])
-    model.fit([_ids(t.lower().split(), cuts) for t in text_bytes(texts["text"].combine_chunks())] if len(texts) else [])
+    model = Model(Lexicon(share, starts_word(cuts_of(vocabulary.value))))
+    if not n_docs:
+        return model
+    context = rows.sparkSession.sparkContext
+    lexicon = context.broadcast(model.lexicon)
+    texts = materialize(shards(rows, vocabulary, max(1, round(share.sum() / shard_tokens))), "lm-shards")
+    model.set_pairs(_summed(texts, lambda ids, lengths, _: Model(lexicon.value).pair_counts(ids, lengths),
+                            "lm-pairs"))
+    passes = int(min(MOST_PASSES, max(1, -(-STEPS * BATCH * STRIDE // share.sum()))))
+    for turn in range(rounds):
+        weights = context.broadcast(model.p)
+
+        def changes(ids: np.ndarray, lengths: np.ndarray, shard: int) -> np.ndarray:
+            lm = Model(lexicon.value)
+            lm.p = dict(weights.value)
+            return lm.train(ids, lengths, shard, turn, rounds, passes)
+
+        model.move(_summed(texts, changes, "lm-changes"))
+        weights.destroy()
     return model
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -61,6 +62,28 @@ def test_lm_base_and_score(spark):
     assert lm.score(docs(spark, [])).count() == 0
 
 
+def test_lm_learns_from_every_training_document(spark):
+    """What only documents beyond any fixed number of them say is in the model, however they are dealt."""
+    ids = sorted((i for i in range(900) if zlib.crc32(str(i).encode()) % 10), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    late = set(ids[500:])
+    df = docs(spark, [(i, "plain words here " * 4 + ("then zebra music " * 3 if i in late else "")) for i in range(900)])
+    with open(lm.VOCABULARY, "rb") as f:
+        vocabulary = spark.sparkContext.broadcast(f.read())
+    cuts = lm.Cuts(vocabulary.value)
+
+    def fitted(df, **more):
+        rows = lm._rows(df, "doc_id", "text")
+        return lm.fit(rows, lm.word_counts(rows), len(ids), vocabulary, **more)
+
+    model = fitted(df, shard_tokens=3000)
+    lex = model.lexicon
+    zebra, music = (np.frombuffer(cuts[w], dtype=np.uint16) for w in (b"zebra", b"music"))
+    row = model.p["pair"][lex.input[zebra[-1]]]
+    assert row[lex.cls[music[0]] // lm.MEMBERS] > 0.2  # 0 for an id that no fitted document has
+    again = fitted(df.repartition(5), shard_tokens=3000)
+    assert all(np.allclose(model.p[k], again.p[k], atol=1e-4) for k in model.p)
+
+
 def test_lm_windows_and_probabilities():
     with open(lm.VOCABULARY, "rb") as f:
         cuts = lm.Cuts(f.read())
