@@ -96,6 +96,14 @@ def minority_neighbors(minority: DataFrame, k: int = 5, block_rows: int = BLOCK_
         "idx", "rank", "nb_idx", "distance")
 
 
+def class_counts(balanced: DataFrame) -> DataFrame:
+    """label, is_synthetic, n of SMOTE's rows; the smaller class has a synthetic row even where none were made."""
+    counts = balanced.groupBy("label", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+    none = counts.where(~F.col("is_synthetic")).orderBy("n", "label").limit(1).select(
+        "label", F.lit(True).alias("is_synthetic"), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(none).groupBy("label", "is_synthetic").agg(F.sum("n").alias("n"))
+
+
 def smote(df: DataFrame, features: list[str], label: str = "label", k: int = 5, seed: int = SEED,
           id_cols: tuple[str, ...] = ("order_id", "product_id")) -> DataFrame:
     """Oversample the minority class to the majority size (I4).

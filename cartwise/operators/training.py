@@ -34,7 +34,8 @@ RF_GRID = {
 }
 
 
-# Labelled rows a model is fitted on: at most this many of each class, those with the smallest key hash.
+# Labelled rows of the training matrices: at most this many of each class, those with the smallest key hash;
+# of a fit: about this many of the smaller class, and of the other one by the class ratio.
 LABELLED_ROWS = 4000
 
 
@@ -46,6 +47,18 @@ def labelled_rows(lines: DataFrame, keys: list[str], label: str = "reordered", n
     return parts[0].unionByName(parts[1]).drop("_h")
 
 
+def labelled_share(lines: DataFrame, keys: list[str], label: str = "reordered", n: int = LABELLED_ROWS,
+                   seed: int = SEED) -> DataFrame:
+    """The labelled rows a model is fitted on: those under one hash threshold over both classes.
+
+    The class ratio stays as it is.  The threshold leaves about ``n`` rows of
+    the smaller class, or all rows where it has no more.
+    """
+    rows = lines.where(F.col(label).isin(0, 1))
+    fewest = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
+    return rows.where(unit_hash(*keys, seed=seed) < F.try_divide(F.lit(float(n)), fewest))
+
+
 def available_features(df: DataFrame, wanted: list[str]) -> tuple[list[str], list[str]]:
     """(present, missing) feature names."""
     present = [c for c in wanted if c in df.columns]

@@ -100,7 +100,7 @@ def run_pipeline(
     preds = {}
     for which, fl in (("base", training.BASE_FEATURES), ("enhanced", training.BASE_FEATURES + training.ENHANCED_FEATURES)):
         def fit(fl=fl, which=which):
-            m = training.training_matrix(training.labelled_rows(enh, KEYS, n=labelled_rows), fl)
+            m = training.training_matrix(training.labelled_share(enh, KEYS, n=labelled_rows), fl)
             data = materialize(training.split(balance.smote(m, fl, id_cols=tuple(KEYS))), f"p-balanced-{which}")
             model = training.train_gbt(data.where("is_train"), fl, **gp)
             test = data.where(~F.col("is_train"))

@@ -141,9 +141,11 @@ def q_smote_neighbors(spark, sf_dir):
 
 
 def balanced(spark, sf_dir, feats):
+    """Rows the models are fitted on, in their class ratio, and SMOTE's rows that make up for it."""
     key = _key("balanced", spark, sf_dir, tuple(feats))
     if key not in _MEMO:
-        data = balance.smote(matrix(spark, sf_dir, feats), feats, id_cols=tuple(KEYS))
+        rows = training.training_matrix(training.labelled_share(enhanced(spark, sf_dir), KEYS), feats)
+        data = balance.smote(rows, feats, id_cols=tuple(KEYS))
         _MEMO[key] = materialize(training.split(data), "balanced")
     return _MEMO[key]
 
@@ -155,8 +157,8 @@ SELECT (SELECT label FROM c ORDER BY n, label LIMIT 1), true, (SELECT max(n) - m
     f"c AS (SELECT reordered AS label, count(*) AS n FROM (SELECT * FROM r_features {LABELLED}) GROUP BY reordered)"))
 def q_smote_balance(spark, sf_dir):
     """I4: class counts before/after SMOTE (equal after)."""
-    b = balanced(spark, sf_dir, training.BASE_FEATURES)
-    return b.groupBy("label", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+    rows = matrix(spark, sf_dir, training.BASE_FEATURES)
+    return balance.class_counts(balance.smote(rows, training.BASE_FEATURES, id_cols=tuple(KEYS)))
 
 
 def fitted(spark, sf_dir, which):

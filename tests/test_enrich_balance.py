@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cartwise.operators import balance, enrich
+from cartwise.operators import balance, enrich, training
 
 
 def test_price_reply_lines(spark):
@@ -61,6 +61,20 @@ def test_smote_with_few_minority_rows(spark):
         assert out.where("label = 1").agg(F.max("f")).first()[0] <= high
 
 
+def test_smote_with_both_classes_above_the_bound(spark):
+    rows = [(i, i, float(i), int(i % 10 == 0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "order_id long, product_id long, f double, reordered int")
+    part = training.labelled_share(df, ["order_id", "product_id"], n=100)
+    n = {r.reordered: r.n for r in part.groupBy("reordered").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert 60 < n[1] < 150 and 7 < n[0] / n[1] < 13
+    out = balance.smote(training.training_matrix(part, ["f"]), ["f"])
+    got = {(r.label, r.is_synthetic): r.n for r in balance.class_counts(out).collect()}
+    assert got == {(0, False): n[0], (1, False): n[1], (1, True): n[0] - n[1]}
+    same = training.training_matrix(training.labelled_rows(df, ["order_id", "product_id"], n=100), ["f"])
+    got = {(r.label, r.is_synthetic): r.n for r in balance.class_counts(balance.smote(same, ["f"])).collect()}
+    assert got == {(0, False): 100, (1, False): 100, (0, True): 0}
+
+
 def test_smote_balances_on_segments(spark):
     rows = [(i, float(i), float(-i), 0) for i in range(40)] + [(100 + i, 100.0 + i, 5.0, 1) for i in range(8)]
     df = spark.createDataFrame(rows, "row_id long, f double, g double, label int")
