@@ -1,7 +1,8 @@
 """Secret scans: loose candidates, and a random forest that removes the false positives.
 
-A candidate is a run of key characters with a digit, or a long upper-case
-run.  Findings that a known format or their neighbours settle are labelled by
+A candidate is the value after a secret name and the password of a URL,
+whatever their length and characters, a token of three dotted parts, a run of
+key characters with a digit, or a long upper-case run.  Findings that a known format or their neighbours settle are labelled by
 rule; a forest is trained on a bounded sample of these, and decides every
 finding from its length, character transitions, dictionary coverage, path
 marks and neighbouring words.
@@ -38,6 +39,14 @@ MASK = "[SECRET]"
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
 DIGIT = re.compile(r"[0-9]")
 UPPER = re.compile(r"[A-Z]{16,}$")
+#: A secret name and its value, quoted or up to the next space; the password of a URL; tokens of dotted parts.
+VALUE = re.compile(r"(?i:(password|passwd|pwd|secret|token|(?:api|access|private)?[_-]?key|credentials?|auth|bearer|private))"
+                   r"[\"']?[ \t]{0,8}(?:=>|==?|:=?)[ \t]{0,8}(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"'<>]+))")
+STEMS = ["password", "passwd", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "private"]
+URL = re.compile(r"://[^\s/:@]*:([^\s/]+)@")
+URL_BEFORE = re.compile(r"://[^\s/:@]*:$")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{6,}(?:\.[A-Za-z0-9_\-]{6,}){2,}")
+PROSE = re.compile(r"[A-Za-z][a-z]*$")
 #: Characters before a finding that are looked at for neighbouring words.
 NEAR = 48
 # Words that stand in front of secrets, words that stand in front of other long strings.
@@ -46,7 +55,7 @@ SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "key", "apikey",
 OTHER_WORDS = ["sha1", "sha256", "md5", "hash", "commit", "checksum", "uuid", "etag", "example", "sample", "dummy", "id"]
 # Formats of issued keys.
 KNOWN = re.compile(r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|"
-                   r"sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20})$")
+                   r"sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20}|eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]{6,}){2})$")
 WORDS_NEAR = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 ASSIGN = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*)[\"']?\s*(?:=|:|=>)\s*[\"']?$")
 CLASSES = {**{c: 0 for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"},
@@ -87,19 +96,27 @@ def describe(text: str, start: int, end: int, words: set[str]) -> tuple[int | No
     near = [w.lower() for w in WORDS_NEAR.findall(before)[-3:]]
     secret_name = any(w in name for w in SECRET_WORDS)
     other_name = any(w == name for w in OTHER_WORDS)
+    url = after[:1] == "@" and bool(URL_BEFORE.search(text, max(0, start - 2 * NEAR), start))
     email = after[:1] == "@" or before[-1:] == "@"
     host = after[:1] == "." and after[1:2].isalnum() or before[-1:] == "."
     path = before[-1:] in ("/", "\\") or found.count("/") >= 2 or "://" in before[-12:]
+    if url:
+        email = host = path = False
+        secret_name = True
     features = [
         float(n), math.log(n), len(counts) / n, entropy, cover,
         *(share[k] / n for k in range(4)), sum(c in "0123456789abcdef" for c in found) / n,
         max(counts.values()) / n, float(n % 4 == 0),
-        *(steps[(a, b)] / (n - 1) for a in range(4) for b in range(4)),
+        *(steps[(a, b)] / max(1, n - 1) for a in range(4) for b in range(4)),
         float(bool(assign)), float(secret_name or any(w in SECRET_WORDS for w in near)),
         float(other_name or any(w in OTHER_WORDS for w in near)), float(path), float(bool(email)), float(bool(host)),
     ]
-    if KNOWN.match(found) or (secret_name and not other_name):
+    # a plain word after "key: " may be prose, the forest decides
+    prose = not url and before[-1:].isspace() and ":" in before[-3:] and PROSE.match(found)
+    if KNOWN.match(found) or (secret_name and not other_name and not prose):
         return 1, features
+    if prose:
+        return None, features
     if email or host or path or other_name or share[2] == n or cover >= 0.5 or share[2] == 0:
         return 0, features
     return None, features
@@ -107,9 +124,23 @@ def describe(text: str, start: int, end: int, words: set[str]) -> tuple[int | No
 
 def findings(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) in characters of every candidate of a whole text."""
-    for m in RUN.finditer(text):
-        if DIGIT.search(m.group()) or UPPER.match(m.group()):
-            yield m.span()
+    taken = [m.span(1) for m in URL.finditer(text)]
+    low = text.casefold()
+    for m in VALUE.finditer(text) if any(w in low for w in STEMS) else ():  # the plain search is much cheaper
+        at, name = m.start(), m.group(1)
+        if at and text[at - 1].isalpha() and not (text[at - 1].islower() and name[0].isupper()):
+            continue  # the end of another word
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 4:
+            end = start + len(m.group(4).rstrip(".,;:)]}"))
+        taken.append((start, end))
+    taken += [m.span() for m in DOTTED.finditer(text) if DIGIT.search(m.group())]
+    taken += [m.span() for m in RUN.finditer(text) if DIGIT.search(m.group()) or UPPER.match(m.group())]
+    last = 0
+    for start, end in sorted(taken, key=lambda s: (s[0], -s[1])):
+        if start >= last and end > start:
+            yield start, end
+            last = end
 
 
 class Forest:

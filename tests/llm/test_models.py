@@ -172,6 +172,25 @@ def test_secrets(spark):
     assert [r["is_secret"] for r in alone] == [True]
 
 
+def test_secrets_of_any_length_and_in_dotted_tokens_and_urls(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dBjftJeZ4CVPmB92K27uhbUJU1p1rwW1gFWFOEj{:02d}"
+    kinds = ['password = "Summer20{:02d}!" end', "db_password: P@ssw0rd!x{:02d} end", "PASSWORD='correct horse battery nr{:02d}' end",
+             "Authorization: Bearer " + jwt + " end", "see " + jwt + " end", "postgres://admin:S3cr!et{:02d}@db.example.com/x end"]
+    start = ["Summer", "P@ss", "correct", "eyJ", "eyJ", "S3cr"]
+    rows = [(100 * k + i, t.format(i)) for k, t in enumerate(kinds) for i in range(30)]
+    rows += [(1000 + i, f"mail longname{i}4abc@mail8.example.com commit={i:02d}31f6559e745b37cb8be6fc63") for i in range(90)]
+    found = {(r["doc_id"], r["start_pos"]) for r in secret_scan.scan(docs(spark, rows)).collect() if r["is_secret"]}
+    assert found == {(i, t.index(start[i // 100])) for i, t in rows if i < 1000}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(spark, rows)).collect()}
+    assert clean[0] == 'password = "[SECRET]" end' and clean[500] == "postgres://admin:[SECRET]@db.example.com/x end"
+    assert clean[300] == "Authorization: Bearer [SECRET] end" and clean[200] == "PASSWORD='[SECRET]' end"
+
+
+def test_prose_after_a_secret_name_is_left_to_the_forest():
+    label, _ = secret_scan.describe("the key: patience wins", 9, 17, {"patience"})
+    assert label is None and list(secret_scan.findings("monkey: bananas")) == []
+
+
 def test_forest_reads_the_model(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((400, 5))
