@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwise.llm import (
-    decontaminate, embedding_dedup, lm, mixing, quality, secret_scan, simhash, substring_dedup, token_counts, warc,
+    centroids, decontaminate, embedding_dedup, lexical, lm, mixing, quality, secret_scan, simhash, substring_dedup,
+    token_counts, token_store, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +211,82 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all documents with the forest's verdict."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _round_sql(k: int) -> str:
+    """Assignment ``a{k}`` by the centroids ``c{k}``, and the centroids after it."""
+    return f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, v, c, d FROM (
+    SELECT v.rid, v.vec_id, v.v, c.c,
+           list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM v, c{k} c
+  ) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1
+), m{k} AS (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+    SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(range(64)) AS i, unnest(v) AS x FROM a{k}) GROUP BY c, i
+  ) GROUP BY c
+), c{k + 1} AS MATERIALIZED (
+  SELECT c{k}.c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} ON c{k}.c = m{k}.c
+),"""
+
+
+CENTROID_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM v QUALIFY c < 16
+),{_round_sql(0)}{_round_sql(1)}{_round_sql(2)}{_round_sql(3)}
+t AS (
+  SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a3 GROUP BY c
+)
+SELECT a3.vec_id, a3.c::INT AS cluster, a3.d AS distance, t.cluster_inertia,
+       (SELECT sum(d)::BIGINT FROM a3) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN t ON a3.c = t.c JOIN c3 ON a3.c = c3.c
+"""
+
+
+@query("op11_centroids", CENTROID_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all embeddings with 64 finite components."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH_SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS w, len(w)::BIGINT AS n FROM documents
+), s AS (
+  SELECT count(*)::BIGINT AS all_docs, sum(n)::BIGINT AS all_terms FROM d WHERE n > 0
+), i AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark
+), f AS MATERIALIZED (
+  SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY rid, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY term), s
+), p AS (
+  SELECT f.rid, f.term, w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * d.n * s.all_docs) // s.all_terms))) AS part
+  FROM f JOIN w ON f.term = w.term JOIN d ON f.rid = d.rid, s
+), q AS (
+  SELECT i.item_id, p.rid, sum(p.part)::BIGINT AS score FROM i JOIN p ON i.term = p.term GROUP BY i.item_id, p.rid
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+FROM q JOIN d ON q.rid = d.rid WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op12_lexical_search", SEARCH_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_token_store")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to files and read back."""
+    return token_store.round_trip(table(spark, sf_dir, "documents"))
