@@ -8,6 +8,7 @@ becomes one file, and a manifest numbers the files in document order.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -32,14 +33,21 @@ FILE_IDS = 4 << 20
 #: Texts encoded at once, in bytes.
 TEXT_BYTES = 4 << 20
 #: Ids of the pieces of text that a worker remembers.
-CACHE_IDS = 3 << 20
+CACHE_IDS = 3 << 19
 #: Pieces that are joined for one call of the library.
 JOINED = 1 << 14
 
-#: A white space (or a control that some count as one) before a space: such texts are cut by PIECE instead.
-_DOUBLE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
+#: White space, and controls that some count as such.
+_WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Texts with one before a space are cut by ODD, others before every space.
+_DOUBLE = f"[{_WHITE}] "
 #: Cuts between a character that is no white space and an ASCII white space.
-PIECE = re.compile(r"\s*\S+(?:[^\S \t-\r]\s*\S*)*|\s+")
+ODD = re.compile(r"\s*\S+(?:[^\S \t-\r]\s*\S*)*|\s+")
+#: The pattern's pieces also end between a letter and ASCII punctuation, a digit or a line end, and after a line
+#: end that stands alone before a letter.  Letters here are those of Latin scripts, whose class no version changes.
+_LETTER, _OTHER = "A-Za-zÀ-ÖØ-öø-ɏ", r"\n!-@\[-`{-~"
+_FIRST = f"(?s)^(?P<a>.*?[{_LETTER}])(?P<b>[{_OTHER}].*)$"
+_INSIDE = re.compile(f"(?<=[{_LETTER}])(?=[{_OTHER}])|(?<=[!-~{_LETTER}]\n)(?=[{_LETTER}])")
 
 
 def tokenizer_file(name: str = TOKENIZER) -> bytes:
@@ -51,13 +59,55 @@ def tokenizer_file(name: str = TOKENIZER) -> bytes:
         return f.read()
 
 
+class _Memory:
+    """Pieces of text met before: their ids from ``first[n]`` to ``first[n + 1]``, and in how many batches they were used."""
+
+    def __init__(self, encode, most: int):
+        self.encode, self.most = encode, most
+        self.pieces = pa.array([], pa.string())
+        self.first, self.ids, self.uses = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """If there are too many, keep the half that has been used most."""
+        if len(self.ids) <= self.most:
+            return
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2])
+        size = np.diff(self.first)[keep]
+        self.ids = self.ids[_runs(self.first[keep], size)]
+        self.first = np.concatenate(([0], np.cumsum(size)))
+        self.pieces, self.uses = self.pieces.take(pa.array(keep)), self.uses[keep] // 2
+
+    def numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces; new ones are encoded."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        missing = at.is_null()
+        new, known = pieces.filter(missing), len(self.pieces)
+        for i in range(0, len(new), JOINED):
+            ids, sizes = self.encode(new.slice(i, JOINED))
+            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
+            self.ids = np.concatenate((self.ids, ids))
+        out = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        out[missing.to_numpy(zero_copy_only=False)] = known + np.arange(len(new))
+        if len(new):
+            self.pieces = pa.concat_arrays([self.pieces, new])
+        self.uses = np.pad(self.uses, (0, len(new)))
+        self.uses[out] += 1
+        return out
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[k] to first[k] + size[k] of all k, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(size.sum())
+
+
 class Encoder:
     """Token ids of texts, by the ``tokenizers`` library.
 
     A byte-level tokenizer that splits by its pattern and changes nothing
-    before never joins a character to a white space after it.  There every
-    text is cut at such places, and the library is asked once for each piece
-    that has not been seen lately.  Other tokenizers get whole texts.
+    before never joins a character to a white space after it, nor a letter to
+    punctuation.  There a text is cut before its spaces and after its letters,
+    and the library is asked once for each piece that has not been seen lately.  Other tokenizers get whole texts.
     """
 
     def __init__(self, definition: bytes):
@@ -66,10 +116,14 @@ class Encoder:
         self.library = Tokenizer.from_str(definition.decode())
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.piecewise = self._splits(json.loads(definition))
+        #: Added tokens stand in any place; a word that holds one is never cut.
+        self.added = "|".join(re.escape(t["content"]) for t in json.loads(definition).get("added_tokens", [])) or r"\A\b\B"
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.token_bytes = np.zeros(self.vocabulary, np.int64)
         self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self._forget()
+        #: Words with a space in front, and everything else (first words, pieces of odd texts).
+        self.inner = _Memory(lambda pieces: self._joined(pieces, " ", False), CACHE_IDS)
+        self.outer = _Memory(lambda pieces: self._joined(pieces, "\n", True), CACHE_IDS // 2)
 
     @staticmethod
     def _splits(d: dict) -> bool:
@@ -80,42 +134,63 @@ class Encoder:
                 and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])
                             for t in d.get("added_tokens", [])))
 
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each) of texts that the library gets one by one."""
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for own in found for i in own), np.uint32, int(sizes.sum())), sizes
 
-    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of pieces that start with a space and end without one: joined, they are a text of these pieces."""
-        ids = np.array(self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
-        after = np.cumsum(self.token_bytes[ids])
-        last = np.searchsorted(after, ends)
-        if not np.array_equal(after[np.minimum(last, len(after) - 1)], ends):
-            return self._whole(pieces)
-        return ids, np.diff(last + 1, prepend=0)
-
-    def _learn(self, pieces: list[str]) -> np.ndarray:
-        """The numbers of some pieces; the library encodes those that are new."""
-        numbers = list(map(self.number.get, pieces))
-        new = list(dict.fromkeys([p for p, k in zip(pieces, numbers) if k is None]))
-        if not new:
-            return np.array(numbers, np.int64)
-        inner = [p for p in new if p[0:1] == " " and not p[-1].isspace()]
-        outer = [p for p in new if p[0:1] != " " or p[-1].isspace()]
-        for found, encode in ((inner, self._joined), (outer, self._whole)):
-            for at in range(0, len(found), JOINED):
-                part = found[at : at + JOINED]
-                ids, sizes = encode(part)
-                self.number.update(zip(part, range(len(self.number), len(self.number) + len(part))))
-                self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
-                self.ids = np.concatenate((self.ids, ids))
-        return np.array([self.number[p] if k is None else k for p, k in zip(pieces, numbers)], np.int64)
+    def _joined(self, pieces: pa.Array, mark: str, between: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each) of pieces joined by ``mark``: a space that belongs to the next piece, or a line end between.
+
+        The text of pieces that end in no white space is cut there by the
+        pattern; the ids' lengths in bytes tell where each piece ends.
+        """
+        texts = pieces.to_pylist()
+        loose = np.array([not p or p[-1].isspace() or between and p[0].isspace() for p in texts], bool)
+        firm = [p for p, out in zip(texts, loose.tolist()) if not out]
+        sizes, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)] * 2
+        if firm:
+            text = mark.join(firm) + mark if between else mark + mark.join(firm)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in firm), np.int64, len(firm)))
+            after = np.cumsum(self.token_bytes[ids])
+            last = np.searchsorted(after, ends)
+            if after[-1] != ends[-1] or not np.array_equal(after[last], ends):
+                return self._whole([p if between else mark + p for p in texts])
+            sizes[~loose] = np.diff(last + 1, prepend=0) - between
+            parts[0] = np.delete(ids, last) if between else ids
+        if len(firm) < len(texts):
+            parts[1], sizes[loose] = self._whole([p if between else mark + p for p, out in zip(texts, loose) if out])
+        first = np.zeros(len(texts), np.int64)
+        for mask, base in ((~loose, 0), (loose, len(parts[0]))):
+            first[mask] = base + np.cumsum(sizes[mask]) - sizes[mask]
+        return np.concatenate(parts)[_runs(first, sizes)], sizes
+
+    def _ids_of(self, words: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each) of distinct words with a space in front, followed by other distinct texts."""
+        cut = pc.extract_regex(words, _FIRST)
+        whole = pc.or_(cut.is_null(), pc.match_substring_regex(words, self.added))
+        begin = pc.if_else(whole, words, cut.field("a")).dictionary_encode()
+        rest = pa.concat_arrays([pc.if_else(whole, "", cut.field("b")), others]).dictionary_encode()
+        for memory in (self.inner, self.outer):
+            memory.forget()
+        begins = self.inner.numbers(begin.dictionary)[begin.indices.to_numpy()]
+        added = pc.match_substring_regex(rest.dictionary, self.added).to_pylist()
+        rests = [[t] if keep else _INSIDE.split(t) if t else [] for t, keep in zip(rest.dictionary.to_pylist(), added)]
+        pieces = pa.array([p for own in rests for p in own], pa.string()).dictionary_encode()
+        numbers = len(self.inner.uses) + self.outer.numbers(pieces.dictionary)[pieces.indices.to_numpy()]
+        first = np.concatenate((self.inner.first[:-1], self.inner.first[-1] + self.outer.first))
+        ids = np.concatenate((self.inner.ids, self.outer.ids))
+        # Piece numbers of each text: the begin of a word, then the pieces of its rest.
+        counts = np.array([len(own) for own in rests], np.int64)[rest.indices.to_numpy()]
+        starts = np.concatenate(([0], np.cumsum([len(own) for own in rests])))[rest.indices.to_numpy()]
+        own = numbers[_runs(starts, counts)]
+        own = np.insert(own, (np.cumsum(counts) - counts)[: len(words)], begins)
+        counts[: len(words)] += 1
+        size = np.diff(first)[own]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return ids[_runs(first[own], size)], np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each); null is an empty text."""
@@ -127,31 +202,36 @@ class Encoder:
         words = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         bounds = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        seen = coded.dictionary.to_pylist()
-        heads = coded.indices.to_numpy()[bounds[:-1]]
-        cut = [PIECE.findall(t) for t in texts.filter(odd).to_pylist()]
-        if len(self.ids) > CACHE_IDS:
-            self._forget()
-        of_word = self._learn([" " + w for w in seen])
-        first, at_first = np.unique(heads, return_inverse=True)
-        of_head = self._learn([seen[i] for i in first.tolist()])[at_first]
-        other = self._learn([p for own in cut for p in own])
-        own = of_word[coded.indices.to_numpy()]
-        own[bounds[:-1]] = of_head
-        counts = np.diff(bounds)
+        word, seen = coded.indices.to_numpy(), coded.dictionary
+        cut = [ODD.findall(t) for t in texts.filter(odd).to_pylist()]
+        other = pa.concat_arrays([seen.take(pa.array(word[bounds[:-1]])), pa.array([p for own in cut for p in own], pa.string())])
+        other = other.dictionary_encode()
+        ids, sizes = self._ids_of(seen, other.dictionary)
+        # All units in order: the words, with the first ones and the odd texts' pieces put in.
+        own, counts, rest = word.astype(np.int64), np.diff(bounds), len(seen) + other.indices.to_numpy()
+        own[bounds[:-1]] = rest[: len(texts)]
         if cut:
-            at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-            lengths = np.array([len(c) for c in cut])
+            at, lengths = np.flatnonzero(odd.to_numpy(zero_copy_only=False)), np.array([len(c) for c in cut])
             spread = np.ones(len(own), np.int64)
             spread[bounds[at]] = lengths
-            own = np.repeat(own, spread)
-            starts = (np.cumsum(spread) - spread)[bounds[at]]
-            own[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(other))] = other
+            own, starts = np.repeat(own, spread), (np.cumsum(spread) - spread)[bounds[at]]
+            own[_runs(starts, lengths)] = rest[len(texts) :]
             counts[at] = lengths
-        size = self.first[own + 1] - self.first[own]
+        size, first = sizes[own], np.cumsum(sizes) - sizes
         ends = np.concatenate(([0], np.cumsum(size)))
-        flat = self.ids[np.repeat(self.first[own] - ends[:-1], size) + np.arange(ends[-1])]
-        return flat, np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
+        return ids[_runs(first[own], size)], np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def worker_encoder(definition: bytes) -> Encoder:
+    """The encoder of a definition, built once per worker process; a task has one core, so the library gets one thread."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    key = hash(definition)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(definition)
+    return _ENCODERS[key]
 
 
 def staged_ids(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text",
@@ -171,7 +251,7 @@ def staged_ids(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_i
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(definition.value), TaskContext.get().partitionId(), 0
+        encoder, part, seq = worker_encoder(definition.value), TaskContext.get().partitionId(), 0
         doc_ids, sizes, held, n = [], [], [], 0
 
         def row() -> pa.RecordBatch:
