@@ -8,10 +8,11 @@ Scale notes
 * Apriori pruning (exact): a pair can only reach ``min_support`` orders if
   both of its products do, so lines of products below the threshold are
   removed with a left-semi join before the self-join.
-* Every order is cut into ceil(lines / BLOCK) blocks by product hash, and each
-  (order, block, block) is a join key of its own.  Ordinary orders are one
-  block; a huge basket is spread over blocks^2 keys, so no task enumerates
-  more than about BLOCK^2 pairs of it, whatever its size.
+* A huge order is cut into blocks by product hash, and each (order, block,
+  block) is a join key of its own, so no task enumerates more than about
+  BLOCK^2 pairs of it, whatever its size.  Huge orders are found by a
+  frequency sketch of the lines (one pass, one row), not by counting every
+  order: ordinary orders are one block and pay for nothing but the self-join.
   The (p1, p2) count is combined map-side before the shuffle.
 """
 
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.operators import heavy
+
 # Lines of an order that one block holds, expected.
 BLOCK = 1000
 
@@ -52,9 +55,8 @@ def basket_pairs(lines: DataFrame, max_orders: int | None = None, min_support: i
         base = base.join(first_orders(base, max_orders), "order_id", "left_semi")
     if min_support > 1:
         base = base.join(frequent_items(base, min_support), "product_id", "left_semi")
-    sizes = base.groupBy("order_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    base = base.join(sizes, "order_id").withColumn(
-        "own", F.pmod(F.xxhash64("product_id"), F.col("blocks")).cast("int"))
+    blocks = heavy.parts_of(base, "order_id", block)
+    base = heavy.with_parts(base, blocks, "order_id", "blocks").withColumn("own", heavy.part_of(F.col("blocks"), "product_id"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     a = base.select("order_id", F.col("product_id").alias("p1"), F.col("pos").alias("pos1"),
                     F.col("own").alias("b1"), every.alias("b2"))

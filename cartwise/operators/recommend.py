@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwise.operators import heavy
+
 
 def first_items_per_user(lines: DataFrame, n: int = 3) -> DataFrame:
     """First ``n`` products of every user by (order_number, add_to_cart_order, product_id).
@@ -48,34 +50,43 @@ def product_features(lines: DataFrame, scored_products: DataFrame | None = None)
     )
 
 
-def cross_sell_candidates(baskets: DataFrame, edges: DataFrame) -> DataFrame:
+def cross_sell_candidates(baskets: DataFrame, edges: DataFrame, carry: tuple[str, ...] = (),
+                          heavy_rows: int = heavy.ROWS) -> DataFrame:
     """Graph neighbours of basket items, minus the basket itself.
 
     basket_id, product_id (candidate), network_strength = sum of edge weights
-    from the basket's items to the candidate.  The neighbour fan-out is
-    combined map-side per (basket, candidate) before the shuffle.
+    from the basket's items to the candidate, and the columns ``carry`` of
+    the edges, which depend on the candidate alone.  An item of more than
+    about ``heavy_rows`` basket lines is split: its lines are salted by basket
+    and its edges repeated.  The neighbour fan-out and the basket's own items
+    meet in one aggregate, combined map-side, that also drops the members.
     """
     b = baskets.select("basket_id", F.col("product_id").alias("item"))
-    cand = (
-        b.join(edges, b.item == edges.src)
-        .groupBy("basket_id", F.col("dst").alias("product_id"))
-        .agg(F.sum(F.col("weight").cast("double")).alias("network_strength"))
-    )
-    return cand.join(baskets.select("basket_id", "product_id"), ["basket_id", "product_id"], "left_anti")
+    e = edges.select(F.col("src").alias("item"), "dst", F.col("weight").cast("double").alias("weight"), *carry)
+    fan = heavy.salted_join(b, e, "item", heavy.parts_of(b, "item", heavy_rows), ("basket_id",))
+    fan = fan.select("basket_id", F.col("dst").alias("product_id"), "weight", *carry, F.lit(False).alias("member"))
+    own = baskets.select("basket_id", "product_id", F.lit(True).alias("member"))
+    rows = fan.unionByName(own, allowMissingColumns=True).groupBy("basket_id", "product_id").agg(
+        F.sum("weight").alias("network_strength"), *[F.max(c).alias(c) for c in carry], F.max("member").alias("member"))
+    return rows.where(~F.col("member")).drop("member")
 
 
 def cross_sell(baskets: DataFrame, edges: DataFrame, features: DataFrame, top_n: int = 5,
-               weights: dict | None = None) -> DataFrame:
+               weights: dict | None = None, heavy_rows: int = heavy.ROWS) -> DataFrame:
     """Top-n cross-sell recommendations for every basket at once.
 
     score = .4 network + .3 expansion + .2 price / max(price) + .1 strength;
     candidates without a feature row are dropped (D16); order by score desc,
-    product_id.  ``row_number() <= n`` is planned as a WindowGroupLimit, so a
-    large basket ships at most n candidates per map partition.
+    product_id.  The scores ride on the edges, so candidates are not joined
+    to the features; names are joined to the top rows.  ``row_number() <= n``
+    is planned as a WindowGroupLimit, so a large basket ships at most n
+    candidates per map partition.
     """
     w = {**CROSS_SELL_WEIGHTS, **(weights or {})}
     max_price = features.agg(F.max("price")).scalar()
-    scored = cross_sell_candidates(baskets, edges).join(features, "product_id").withColumn(
+    carry = ("basket_expansion_score", "price", "cross_sell_strength")
+    scores = features.select(F.col("product_id").alias("dst"), *carry)
+    scored = cross_sell_candidates(baskets, edges.join(scores, "dst"), carry, heavy_rows).withColumn(
         "recommendation_score",
         F.lit(w["network"]) * F.col("network_strength")
         + F.lit(w["expansion"]) * F.col("basket_expansion_score")
@@ -83,12 +94,9 @@ def cross_sell(baskets: DataFrame, edges: DataFrame, features: DataFrame, top_n:
         + F.lit(w["strength"]) * F.col("cross_sell_strength"),
     )
     win = Window.partitionBy("basket_id").orderBy(F.desc("recommendation_score"), "product_id")
-    return (
-        scored.withColumn("rank", F.row_number().over(win))
-        .where(F.col("rank") <= top_n)
-        .select("basket_id", "rank", "product_id", "product_name", "price", "recommendation_score",
-                "network_strength")
-    )
+    top = scored.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= top_n)
+    return top.join(features.select("product_id", "product_name"), "product_id").select(
+        "basket_id", "rank", "product_id", "product_name", "price", "recommendation_score", "network_strength")
 
 
 def hybrid_scores(rows: DataFrame, weights: dict | None = None) -> DataFrame:

@@ -15,7 +15,9 @@ PAGERANK_ROUNDS = 20
 
 
 def pair_lines(spark, sf_dir):
-    return merged(spark, sf_dir).select("order_id", "product_id", "add_to_cart_order")
+    """Order, product and position of every merged line, staged: mining reads them four times."""
+    return stage("pair-lines", spark, sf_dir,
+                 lambda: merged(spark, sf_dir).select("order_id", "product_id", "add_to_cart_order"))
 
 
 def freq_pairs(spark, sf_dir, mode="directed"):

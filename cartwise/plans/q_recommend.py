@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cartwise.functions.expr import unit_hash
 from cartwise.operators import recommend, sampling
 from cartwise.plans.oracle import h, round_cols, sql
-from cartwise.plans.q_graph import EXP_CTES, edges, merged, scored
+from cartwise.plans.q_graph import EXP_CTES, edges, merged, pair_lines, scored
 from cartwise.plans.q_prep import imputed
 from cartwise.plans.registry import register, stage
 from cartwise.session import materialize
@@ -22,7 +22,7 @@ def product_feats(spark, sf_dir):
 
 
 def order_baskets(spark, sf_dir):
-    return merged(spark, sf_dir).select(F.col("order_id").alias("basket_id"), "product_id")
+    return pair_lines(spark, sf_dir).select(F.col("order_id").alias("basket_id"), "product_id")
 
 
 REC_CTES = EXP_CTES + """,
