@@ -3,16 +3,17 @@
 Department-level statistics are hot by nature (a few departments hold all
 products), so none of them is a window over a department:
 * rank percentile: aggregate to distinct (department, price) with counts,
-  prefix-sum the counts over that small table, join back;
+  running counts by ranges of (department, price) (``order_stats``), join back;
 * department mean: ``groupBy`` + join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.expr import exact_avg, round2
+from cartwise.operators.order_stats import running_before
 
 
 def product_text(products: DataFrame, departments: DataFrame, aisles: DataFrame) -> DataFrame:
@@ -27,21 +28,11 @@ def rank_pct(df: DataFrame, group: str, value: str) -> DataFrame:
 
     Equivalent to pandas ``rank(pct=True)``: (below + (ties + 1) / 2) / n.
     """
-    dist = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(group, value)
-        .agg(F.count(F.lit(1)).alias("_ties"))
-    )
-    w_before = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(group)
-    dist = dist.select(
-        group,
-        value,
-        (
-            (F.coalesce(F.sum("_ties").over(w_before), F.lit(0)) + (F.col("_ties") + 1) / 2.0)
-            / F.sum("_ties").over(w_all)
-        ).alias(f"{value}_pct_raw"),
-    )
+    dist = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_ties"))
+    dist = running_before(dist, group, value, "_ties", "_below")
+    totals = dist.groupBy(F.col(group).alias("_group")).agg(F.sum("_ties").alias("_n"))
+    pct = (F.col("_below") + (F.col("_ties") + 1) / 2.0) / F.col("_n")
+    dist = dist.join(totals, F.col(group).eqNullSafe(F.col("_group"))).select(group, value, pct.alias(f"{value}_pct_raw"))
     return df.join(dist, [group, value], "left")
 
 

@@ -8,8 +8,8 @@ Scale notes
   their key, not windows: partial aggregation keeps a hot user or product
   (a third of all rows) from landing in one window task, and AQE splits the
   hot partition of the join.
-* Scalars (median, min, max) are scalar subqueries (``DataFrame.scalar``):
-  evaluated once, inlined as a literal, no cross join.
+* The median is an exact order statistic found by narrowing ranges; it runs
+  when the plan is built and enters it as a literal.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.expr import exact_avg, exact_sum
+from cartwise.operators.order_stats import quantiles
 from cartwise.operators.sampling import hash_sample
 
 PRODUCT_COLUMNS = ["product_id", "product_name", "aisle_id", "department_id", "aisle", "department"]
@@ -68,14 +69,14 @@ def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def impute_missing(merged: DataFrame) -> DataFrame:
     """days_since_prior_order NULL -> 0; price NULL -> median over lines.
 
-    The median is exact (value -> count map, bounded by distinct prices) and
-    runs once as a scalar subquery.
+    The median is exact: prices are counted per distinct price over all lines
+    and the middle rank is found by narrowing ranges (``order_stats``).
     """
-    median_price = merged.agg(F.median("price")).scalar()
+    (median_price,) = quantiles(merged, "price", [0.5])
     return merged.withColumns(
         {
             "days_since_prior_order": F.coalesce(F.col("days_since_prior_order"), F.lit(0.0)),
-            "price": F.coalesce(F.col("price"), median_price),
+            "price": F.coalesce(F.col("price"), F.lit(median_price).cast("double")),
         }
     )
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +53,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITES = threading.Lock()
+_OPEN_WRITES: dict[str, list] = {}
+
+
+@contextlib.contextmanager
+def _shuffle_files_removed(spark: SparkSession):
+    """While any write of the session is in here, shuffle files leave with the job that wrote them."""
+    key = spark.sparkContext.applicationId
+    with _WRITES:
+        held = _OPEN_WRITES.setdefault(key, [])
+        if not held:
+            held.append(spark.conf.get(_CLEAN_UP, "false"))
+            spark.conf.set(_CLEAN_UP, "true")
+        held.append(None)
+    try:
+        yield
+    finally:
+        with _WRITES:
+            held.pop()
+            if len(held) == 1:
+                spark.conf.set(_CLEAN_UP, held.pop())
+
+
+def _stage_path(spark: SparkSession, label: str) -> str:
+    path = f"{ensure_checkpoint_dir(spark)}/cartwise-stage/{label}-{uuid.uuid4().hex}"
+    _STAGES.append(path)
+    return path
 
 
 def materialize(df, label: str = "stage"):
@@ -61,18 +91,55 @@ def materialize(df, label: str = "stage"):
     The shuffle files of the job that wrote a stage are removed as it ends, not
     when the driver happens to collect its garbage.
     """
-    import uuid
+    return _written(df, _stage_path(df.sparkSession, label))
 
+
+def _written(df, path: str):
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/cartwise-stage/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
+    with _shuffle_files_removed(spark):
         df.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_UP, before)
-    _STAGES.append(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Stages of an iterative job.  With ``keep``, only the newest so many stay."""
+
+    def __init__(self, label: str, keep: int | None = None):
+        self.label, self.keep, self.paths = label, keep, []
+
+    def put(self, df):
+        """Stage ``df``; what this makes too old is deleted."""
+        path = _stage_path(df.sparkSession, self.label)
+        out = _written(df, path)
+        self.paths.append(path)
+        while self.keep and len(self.paths) > self.keep:
+            _delete(df.sparkSession, self.paths.pop(0))
+        return out
+
+    def delete(self, spark: SparkSession) -> None:
+        while self.paths:
+            _delete(spark, self.paths.pop())
+
+
+class Bucketed:
+    """A table written once in buckets of ``key``, so that joins on ``key`` never shuffle it again.
+
+    The files lie in a stage folder; the session's catalog knows them by a
+    name of their own until ``drop``.
+    """
+
+    def __init__(self, df, key: str, label: str, buckets: int | None = None):
+        spark = df.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.path = f"cartwise_{label}_{uuid.uuid4().hex}", _stage_path(spark, label)
+        self.spark, self.buckets = spark, n
+        with _shuffle_files_removed(spark):
+            df.repartition(n, key).write.option("path", self.path).bucketBy(n, key).sortBy(key).saveAsTable(self.name)
+        self.table = spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        _delete(self.spark, self.path)
 
 
 def by_range(df, *keys: str, name: str = "range_no"):
@@ -89,9 +156,14 @@ def by_range(df, *keys: str, name: str = "range_no"):
 _STAGES: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _STAGES:
+        _STAGES.remove(path)
+
+
 def delete_stages(spark: SparkSession) -> None:
     """Delete the stages this process has written; call it when their results have been used."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _STAGES:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _STAGES[-1])
