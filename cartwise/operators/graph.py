@@ -4,9 +4,9 @@ The undirected weighted graph is a symmetric edge table (src, dst, weight):
 every undirected edge appears in both orientations, a self loop once.
 
 Iterative algorithms (PageRank, Brandes betweenness) keep their state as
-DataFrames, drive iteration from the driver with one scalar action per round,
-and cut lineage with reliable ``checkpoint()`` into the session's
-checkpoint directory (survives executor loss; never ``localCheckpoint``).
+DataFrames and drive iteration from the driver with one scalar action per
+round.  The edges are written once in buckets of their source, the state of a
+round as a stage in the session's checkpoint folder (survives executor loss).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.expr import SEED, unit_hash
-from cartwise.session import ensure_checkpoint_dir
+from cartwise.session import Bucketed, Rounds, materialize
 
 
 def edges_from_pairs(pairs: DataFrame) -> DataFrame:
@@ -66,28 +66,13 @@ def cross_sell_strength(edges: DataFrame) -> DataFrame:
     )
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint that computes the plan once.
-
-    ``checkpoint()`` counts and then writes; persisting first lets the write
-    read the cached blocks instead of running the plan a second time.
-    """
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = held.checkpoint(eager=True)
-    held.unpersist()
-    return out
-
-
 def pagerank(
     edges: DataFrame,
     damping: float = 0.85,
     max_iter: int = 50,
     tol: float = 1.0e-6,
     fixed_iterations: int | None = None,
-    checkpoint_every: int = 5,
+    stage_every: int = 5,
 ) -> DataFrame:
     """Weighted PageRank (K4): product_id, pagerank, iterations, converged.
 
@@ -97,46 +82,37 @@ def pagerank(
     many rounds without a convergence test (used by the SQL oracle).
     Every node of a symmetric edge table has out-weight, so there are no
     dangling nodes.
+
+    The transition table is written once in buckets of ``src``: a round
+    shuffles the ranks (one row a node) to it and the contributions, summed
+    map-side, away from it, never the edges.  Old and new rank stand in one
+    row, so the change is one aggregate; only the newest two rounds stay.
     """
     spark = edges.sparkSession
-    out_w = edges.groupBy("src").agg(F.sum(F.col("weight").cast("double")).alias("w_out"))
-    trans = _checkpoint(
-        edges.join(out_w, "src").select("src", "dst", (F.col("weight") / F.col("w_out")).alias("p"))
-    )
-    nodes = _checkpoint(trans.select(F.col("src").alias("node")).distinct())
-    n = nodes.count()
+    w_out = edges.groupBy("src").agg(F.sum(F.col("weight").cast("double")).alias("w_out"))
+    trans = Bucketed(edges.join(w_out, "src").select("src", "dst", (F.col("weight") / F.col("w_out")).alias("p")),
+                     "src", "transitions")
+    rounds = Rounds("pagerank", keep=2)
+    ranks = rounds.put(trans.table.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0)))
+    n = ranks.count()
     if n == 0:
-        return spark.createDataFrame(
-            [], "product_id bigint, pagerank double, iterations int, converged boolean"
-        )
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    rounds = fixed_iterations if fixed_iterations is not None else max_iter
-    converged = False
-    done = 0
-    for i in range(1, rounds + 1):
-        contrib = (
-            trans.join(ranks, trans.src == ranks.node)
-            .groupBy("dst")
-            .agg(F.sum(F.col("p") * F.col("rank")).alias("s"))
-        )
-        new = nodes.join(contrib, nodes.node == contrib.dst, "left").select(
-            "node", (F.lit((1.0 - damping) / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank")
-        )
-        done = i
+        trans.drop()
+        return spark.createDataFrame([], "product_id bigint, pagerank double, iterations int, converged boolean")
+    ranks = ranks.select("node", F.lit(1.0 / n).alias("rank"))
+    limit = fixed_iterations if fixed_iterations is not None else max_iter
+    converged, done = False, 0
+    for i in range(1, limit + 1):
+        new, done = pagerank_round(trans.table, ranks, n, damping), i
         if fixed_iterations is None:
-            new = _checkpoint(new)
-            err = (
-                new.alias("a")
-                .join(ranks.alias("b"), "node")
-                .agg(F.sum(F.abs(F.col("a.rank") - F.col("b.rank"))))
-                .first()[0]
-            )
-            ranks = new
-            if err is not None and err < n * tol:
-                converged = True
-                break
-        else:
-            ranks = _checkpoint(new) if i % checkpoint_every == 0 else new
+            new = rounds.put(new)
+            err = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            converged = err is not None and err < n * tol
+        elif i % stage_every == 0 or i == limit:
+            new = rounds.put(new)
+        ranks = new.select("node", "rank")
+        if converged:
+            break
+    trans.drop()
     return ranks.select(
         F.col("node").alias("product_id"),
         F.col("rank").alias("pagerank"),
@@ -145,6 +121,13 @@ def pagerank(
     )
 
 
+def pagerank_round(trans: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFrame:
+    """(node, old, rank) after one round over a transition table bucketed by ``src``."""
+    given = trans.join(ranks, trans.src == ranks.node).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("s"))
+    new = F.lit((1.0 - damping) / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0))
+    return ranks.join(given, ranks.node == given.dst, "left").select("node", F.col("rank").alias("old"), new.alias("rank"))
+
+
 def choose_sources(nodes: DataFrame, k: int | None, seed: int = SEED) -> DataFrame:
     """k nodes with the smallest key hash (all when k is None or k >= n)."""
     if k is None:
@@ -170,25 +153,32 @@ def betweenness(
     delta(v) = sum over children w of sigma(v)/sigma(w) * (1 + delta(w)).
     Scores sum delta_s(v) for v != s, times 1/((n-1)(n-2)) (n > 2) and n/k.
     Sources are the k nodes with the smallest key hash (reproducible; k = n is
-    exact).  Every level is checkpointed.
+    exact).  The adjacency is written once in buckets of ``src``, so a level
+    shuffles its frontier to it, never the edges.  Every level is staged for
+    the way back and deleted with its batch.
     """
     spark = edges.sparkSession
-    adj = _checkpoint(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
-    nodes = _checkpoint(adj.select(F.col("src").alias("product_id")).distinct())
+    adjacency = Bucketed(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "src", "adjacency")
+    adj = adjacency.table
+    nodes = materialize(adj.select(F.col("src").alias("product_id")).distinct(), "nodes")
     n = nodes.count()
     kk = n if k is None else min(int(k), n)
-    sources = _checkpoint(choose_sources(nodes, kk if kk < n else None, seed)) if kk else None
+    sources = materialize(choose_sources(nodes, kk if kk < n else None, seed), "sources") if kk else None
     n_batches = max(1, -(-kk // source_batch))
+    sums = Rounds("betweenness", keep=2)
     totals = None
     for bi in range(n_batches if sources is not None else 0):
         # Batches by key hash: no source list goes through the driver.
         batch = sources.where(F.pmod(F.xxhash64("product_id"), F.lit(n_batches)) == bi).select(
             F.col("product_id").alias("s")
         )
-        part = _brandes_batch(adj, batch)
-        totals = part if totals is None else _checkpoint(
-            totals.unionByName(part).groupBy("product_id").agg(F.sum("b").alias("b"))
-        )
+        levels = Rounds("levels")
+        part = _brandes_batch(adj, batch, levels)
+        if totals is not None:
+            part = totals.unionByName(part).groupBy("product_id").agg(F.sum("b").alias("b"))
+        totals = sums.put(part)
+        levels.delete(spark)
+    adjacency.drop()
     if totals is None:
         totals = spark.createDataFrame([], "product_id bigint, b double")
     scale = 1.0
@@ -203,23 +193,20 @@ def betweenness(
     )
 
 
-def _brandes_batch(adj: DataFrame, sources: DataFrame) -> DataFrame:
-    level0 = _checkpoint(
-        sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma"))
-    )
-    levels = [level0]
-    prev = None
-    cur = level0
+def next_level(adj: DataFrame, cur: DataFrame, prev: DataFrame | None) -> DataFrame:
+    """(s, v, sigma) of the nodes one step beyond ``cur``; ``adj`` is bucketed by ``src``."""
+    out = cur.join(adj, cur.v == adj.src).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
+    for seen in (cur, prev):
+        if seen is not None:
+            out = out.join(seen.select("s", "v"), ["s", "v"], "left_anti")
+    return out
+
+
+def _brandes_batch(adj: DataFrame, sources: DataFrame, stages: Rounds) -> DataFrame:
+    cur = stages.put(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))
+    levels, prev = [cur], None
     while True:
-        nxt = (
-            cur.join(adj, cur.v == adj.src)
-            .groupBy("s", F.col("dst").alias("v"))
-            .agg(F.sum("sigma").alias("sigma"))
-        )
-        nxt = nxt.join(cur.select("s", "v"), ["s", "v"], "left_anti")
-        if prev is not None:
-            nxt = nxt.join(prev.select("s", "v"), ["s", "v"], "left_anti")
-        nxt = _checkpoint(nxt)
+        nxt = stages.put(next_level(adj, cur, prev))
         if nxt.isEmpty():
             break
         levels.append(nxt)
@@ -230,7 +217,7 @@ def _brandes_batch(adj: DataFrame, sources: DataFrame) -> DataFrame:
     for lvl in reversed(levels[:-1]):
         coef = child.select("s", F.col("v").alias("w"), ((1.0 + F.col("delta")) / F.col("sigma")).alias("c"))
         up = coef.join(adj, coef.w == adj.src).groupBy("s", F.col("dst").alias("v")).agg(F.sum("c").alias("c"))
-        child = _checkpoint(
+        child = stages.put(
             lvl.join(up, ["s", "v"], "left").select(
                 "s", "v", "sigma", (F.col("sigma") * F.coalesce("c", F.lit(0.0))).alias("delta")
             )

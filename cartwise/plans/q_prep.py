@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from cartwise.operators import prep, sampling
 from cartwise.plans.oracle import h, round_cols, sql
-from cartwise.plans.registry import register, stage
+from cartwise.plans.registry import once, register, stage
 from cartwise.sources import files, testdata
 
 MERGED_DOUBLES = ["days_since_prior_order", "price"]
@@ -27,7 +27,8 @@ def merged(spark, sf_dir):
 
 
 def imputed(spark, sf_dir):
-    return prep.impute_missing(merged(spark, sf_dir))
+    """Lines without missing values; the median is looked up once a query."""
+    return once("imputed", spark, sf_dir, lambda: prep.impute_missing(merged(spark, sf_dir)))
 
 
 def features(spark, sf_dir):

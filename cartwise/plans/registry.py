@@ -28,6 +28,16 @@ def stage(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataF
     return df
 
 
+def once(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` once per query call, not written: for plans that cost a job to make."""
+    key = ("plan", name, spark.sparkContext.applicationId, sf_dir)
+    if not _SCOPE:
+        return build()
+    if key not in _SCOPE[-1]:
+        _SCOPE[-1][key] = build()
+    return _SCOPE[-1][key]
+
+
 def register(name: str, oracle: str | None = None):
     """Decorator: register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
 

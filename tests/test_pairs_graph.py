@@ -75,3 +75,59 @@ def test_hot_order_block_split_equals_plain(spark):
     plain = {tuple(r) for r in pairs.basket_pairs(lines).collect()}
     split = {tuple(r) for r in pairs.basket_pairs(lines, block=3).collect()}
     assert plain == split and len(plain) == 40 * 39 // 2 + 3 * 3 + 3 * 3 + 3 * 1
+
+
+def _exchanges_above_scan(df, table):
+    """Exchange nodes between the root of the executed plan and each scan of ``table``."""
+    prepared = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    found, path = [], []
+    for line in prepared:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        path = [p for p in path if p[0] < depth] + [(depth, line)]
+        if table in line and "Scan" in line:
+            below_join = []
+            for _, node in reversed(path[:-1]):
+                if "Join" in node:
+                    break
+                below_join.append(node)
+            found.append([x for x in below_join if "Exchange" in x])
+    return found
+
+
+def test_rounds_and_levels_never_shuffle_the_edges(spark):
+    from cartwise.session import Bucketed
+
+    e = _edges(spark, [(i, (i * 7 + k) % 500, 1 + k) for i in range(500) for k in range(1, 5)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    trans = Bucketed(e.selectExpr("src", "dst", "0.25D AS p"), "src", "t")
+    try:
+        ranks = e.selectExpr("src AS node", "0.002D AS rank").distinct()
+        once = graph.pagerank_round(trans.table, ranks, 500, 0.85)
+        cur = ranks.selectExpr("0L AS s", "node AS v", "1.0D AS sigma")
+        level = graph.next_level(trans.table.select("src", "dst"), cur, cur.limit(3))
+        for df in (once, level):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Bucketed: true" in plan.replace("Bucketed: false", "")
+            found = _exchanges_above_scan(df, trans.name)
+            assert found and not any(found), plan
+        assert once.count() == 500
+    finally:
+        trans.drop()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rounds_keep_the_newest_stages_and_tables_are_dropped(spark):
+    import os
+
+    from cartwise.session import Rounds
+
+    rounds = Rounds("kept", keep=2)
+    for i in range(4):
+        out = rounds.put(spark.range(i + 1))
+    here = [os.path.exists(p.removeprefix("file:")) for p in rounds.paths]
+    assert here == [True, True] and out.count() == 4 and len(rounds.paths) == 2
+    before = {t.name for t in spark.catalog.listTables()}
+    graph.centrality_table(_edges(spark, [(1, 2, 1), (2, 3, 4), (3, 4, 1)])).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
