@@ -29,24 +29,15 @@ GBT_PARAMS = {"maxIter": 200, "maxDepth": 10, "stepSize": 0.1, "seed": SEED}
 RF_GRID = {
     "numTrees": [100, 200, 300],
     "maxDepth": [10, 20, 30],
-    "min_samples_split": [2, 5, 10],  # no MLlib counterpart; kept in the record of the choice
+    "min_samples_split": [2, 5, 10],  # see least_rows
     "minInstancesPerNode": [1, 2, 4],
 }
 
 
-# Labelled rows of the training matrices: at most this many of each class, those with the smallest key hash;
-# of a fit: about this many of the smaller class, and of the other one by the class ratio.
+# Labelled rows of a fit: about this many of the smaller class, and of the other one by the class ratio.
 LABELLED_ROWS = 4000
 
 
-def labelled_rows(lines: DataFrame, keys: list[str], label: str = "reordered", n: int = LABELLED_ROWS,
-                  seed: int = SEED) -> DataFrame:
-    """The bounded set of labelled rows for a fit: up to ``n`` of each class over all lines, ties by key."""
-    parts = [lines.where(F.col(label) == y).withColumn("_h", unit_hash(*keys, seed=seed)).orderBy("_h", *keys).limit(n)
-             for y in (0, 1)]
-    return parts[0].unionByName(parts[1]).drop("_h")
-
-
 def labelled_share(lines: DataFrame, keys: list[str], label: str = "reordered", n: int = LABELLED_ROWS,
                    seed: int = SEED) -> DataFrame:
     """The labelled rows a model is fitted on: those under one hash threshold over both classes.
@@ -176,8 +167,17 @@ def model_comparison(base: DataFrame, enhanced: DataFrame) -> DataFrame:
     ).select("r.*")
 
 
+def least_rows(point: dict) -> int:
+    """MLlib's least rows of a child that a grid point stands for.
+
+    A node that may only be split from ``min_samples_split`` rows on is one
+    whose children have half of them each, so MLlib's one bound covers both.
+    """
+    return max(point["minInstancesPerNode"], -(-point["min_samples_split"] // 2))
+
+
 def choose_param_maps(n_iter: int = 10, seed: int = SEED) -> list[dict]:
-    """``n_iter`` of the 81 grid points: the ones with the smallest hash of their index."""
+    """``n_iter`` of the 81 grid points: those with the smallest hash of their index, no two alike to MLlib."""
     import hashlib
     import itertools
 
@@ -187,8 +187,10 @@ def choose_param_maps(n_iter: int = 10, seed: int = SEED) -> list[dict]:
     def h(i: int) -> int:
         return int(hashlib.md5(f"{seed}|grid|{i}".encode()).hexdigest()[:8], 16)
 
-    chosen = sorted(range(len(points)), key=lambda i: (h(i), i))[:n_iter]
-    return [points[i] for i in sorted(chosen)]
+    chosen: dict[tuple, int] = {}
+    for i in sorted(range(len(points)), key=lambda i: (h(i), i)):
+        chosen.setdefault((points[i]["numTrees"], points[i]["maxDepth"], least_rows(points[i])), i)
+    return [points[i] for i in sorted(list(chosen.values())[:n_iter])]
 
 
 def rf_random_search(train: DataFrame, features: list[str], n_iter: int = 10, folds: int = 3, seed: int = SEED,
@@ -208,7 +210,7 @@ def rf_random_search(train: DataFrame, features: list[str], n_iter: int = 10, fo
     for p in choose_param_maps(n_iter, seed):
         nt = max(1, int(p["numTrees"] * (scale or {}).get("numTrees", 1.0)))
         md = max(1, min(30, int(p["maxDepth"] * (scale or {}).get("maxDepth", 1.0))))
-        maps.append({rf.numTrees: nt, rf.maxDepth: md, rf.minInstancesPerNode: p["minInstancesPerNode"]})
+        maps.append({rf.numTrees: nt, rf.maxDepth: md, rf.minInstancesPerNode: least_rows(p)})
         records.append((nt, md, p["min_samples_split"], p["minInstancesPerNode"]))
     cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, numFolds=folds, seed=seed, parallelism=parallelism,
                         evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"))

@@ -103,7 +103,8 @@ def run_pipeline(
             m = training.training_matrix(training.labelled_share(enh, KEYS, n=labelled_rows), fl)
             data = materialize(training.split(balance.smote(m, fl, id_cols=tuple(KEYS))), f"p-balanced-{which}")
             model = training.train_gbt(data.where("is_train"), fl, **gp)
-            test = data.where(~F.col("is_train"))
+            held = training.split(training.training_matrix(enh, fl), keys=tuple(KEYS))
+            test = held.where(~F.col("is_train"))
             pred = materialize(training.predict(model, test, fl), f"p-pred-{which}")
             return model, pred
         model, pred = step(f"model_{which}", fit)
@@ -115,14 +116,14 @@ def run_pipeline(
     res["feature_importance"] = imp
     res["importance_by_category"] = training.importance_by_category(imp)
 
-    # 6 revenue comparison on the enhanced model's test rows (features read from the row)
+    # 6 revenue comparison on every held-out line (features read from the row)
     rows = preds["enhanced"].select(
-        *KEYS, "synthetic_no", "label", F.col("score").alias("ml_probability"), "price", "basket_expansion_score",
+        *KEYS, "label", F.col("score").alias("ml_probability"), "price", "basket_expansion_score",
         "cross_sell_strength")
     hy = recommend.hybrid_scores(rows)
     rev = step("revenue", lambda: materialize(
-        recommend.revenue_topk(hy, "ml_probability", top_k, (*KEYS, "synthetic_no")).unionByName(
-            recommend.revenue_topk(hy, "hybrid_score", top_k, (*KEYS, "synthetic_no"))), "p-revenue"))
+        recommend.revenue_topk(hy, "ml_probability", top_k, KEYS).unionByName(
+            recommend.revenue_topk(hy, "hybrid_score", top_k, KEYS)), "p-revenue"))
     res["revenue_impact"] = recommend.revenue_impact(rev)
 
     # 7 cross-sell for every order

@@ -7,11 +7,10 @@ correctness run stays short; the library defaults are the reference's
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartwise.operators import balance, evaluation, graph, similarity, training
-from cartwise.operators.enrich import parse_category_replies
+from cartwise.operators.enrich import number_rows, parse_category_replies
 from cartwise.plans.oracle import h, round_cols, sql
 from cartwise.plans.q_enrich import category_members
 from cartwise.plans.q_features import pair_sims
@@ -22,7 +21,6 @@ from cartwise.session import materialize
 from cartwise.sources import testdata
 
 KEYS = ["order_id", "product_id"]
-ROW_KEYS = (*KEYS, "synthetic_no")
 QUERY_GBT = {"maxIter": 20, "maxDepth": 5}
 # Stages and fits shared by the model queries, by the fingerprint of the input files.
 _MEMO: dict = {}
@@ -53,21 +51,13 @@ def enhanced(spark, sf_dir):
     return out
 
 
-def labelled(spark, sf_dir):
-    return training.labelled_rows(features(spark, sf_dir), KEYS)
-
-
-LABELLED = f"""QUALIFY row_number() OVER (PARTITION BY reordered
-  ORDER BY {h('order_id', 'product_id')}, order_id, product_id) <= {training.LABELLED_ROWS}"""
-
-
 @register("training_matrix_base", sql(round_cols(f"""
 SELECT order_id, product_id, {', '.join(f'CAST(coalesce({c}, 0) AS DOUBLE) AS {c}' for c in training.BASE_FEATURES)},
        reordered AS label
-FROM r_features {LABELLED}""", training.BASE_FEATURES)))
+FROM r_features""", training.BASE_FEATURES)))
 def q_training_matrix_base(spark, sf_dir):
-    """L1 + C2: the 12 base features of the labelled rows, NULL -> 0, label."""
-    return training.training_matrix(labelled(spark, sf_dir), training.BASE_FEATURES)
+    """L1 + C2: the 12 base features of every line, NULL -> 0, label."""
+    return training.training_matrix(features(spark, sf_dir), training.BASE_FEATURES)
 
 
 def _enhanced_sql_parts():
@@ -104,14 +94,14 @@ def q_enhanced_lines(spark, sf_dir):
 @register("training_matrix", sql(round_cols(f"""
 SELECT order_id, product_id, {', '.join(f'CAST(coalesce({c}, 0) AS DOUBLE) AS {c}' for c in _ALL_FEATURES)},
        reordered AS label
-FROM r_enh {LABELLED}""", _ALL_FEATURES), _ENH_CTES))
+FROM r_enh""", _ALL_FEATURES), _ENH_CTES))
 def q_training_matrix(spark, sf_dir):
-    """L1: the 21 enhanced features of the labelled rows, NULL -> 0, label."""
+    """L1: the 21 enhanced features of every line, NULL -> 0, label."""
     return matrix(spark, sf_dir, training.BASE_FEATURES + training.ENHANCED_FEATURES)
 
 
 def matrix(spark, sf_dir, feats):
-    return training.training_matrix(training.labelled_rows(enhanced(spark, sf_dir), KEYS), feats)
+    return training.training_matrix(enhanced(spark, sf_dir), feats)
 
 
 _DIST = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in training.BASE_FEATURES)
@@ -125,14 +115,13 @@ SELECT a.order_id, a.product_id, b.order_id AS nb_order_id, b.product_id AS nb_p
 FROM m a JOIN m b ON NOT (a.order_id = b.order_id AND a.product_id = b.product_id)
 QUALIFY rank <= 5""", ["distance"]), f"""
 m AS (SELECT order_id, product_id, {', '.join(f'CAST(coalesce({c}, 0) AS DOUBLE) AS {c}' for c in training.BASE_FEATURES)}
-      FROM (SELECT * FROM r_features {LABELLED}) WHERE reordered = 1)"""))
+      FROM r_features WHERE reordered = 1)"""))
 def q_smote_neighbors(spark, sf_dir):
-    """I4 neighbour step: 5 nearest other minority rows (exact), ties by key."""
-    m = training.training_matrix(labelled(spark, sf_dir).where("reordered = 1"), training.BASE_FEATURES)
-    # a bounded number of rows (LABELLED_ROWS), numbered by key: ties go by key
-    m = m.select(*KEYS, F.array(*training.BASE_FEATURES).alias("x"),
-                 F.row_number().over(Window.orderBy(*KEYS)).cast("long").alias("idx"))
-    m = materialize(m, "minority")
+    """I4 neighbour step: 5 nearest other rows of every reordered line (exact), ties by key."""
+    m = training.training_matrix(features(spark, sf_dir).where("reordered = 1"), training.BASE_FEATURES)
+    # numbered by key, so that ties go by key
+    m = m.select(F.struct(*KEYS).alias("key"), F.array(*training.BASE_FEATURES).alias("x"))
+    m = materialize(number_rows(m, "key").select("key.*", "x", F.col("rn").cast("long").alias("idx")), "minority")
     nb = balance.minority_neighbors(m.select("idx", "x"), 5)
     a = m.select("idx", *KEYS)
     b = m.select(F.col("idx").alias("nb_idx"), F.col("order_id").alias("nb_order_id"),
@@ -154,10 +143,10 @@ def balanced(spark, sf_dir, feats):
 SELECT label, false AS is_synthetic, n FROM c
 UNION ALL
 SELECT (SELECT label FROM c ORDER BY n, label LIMIT 1), true, (SELECT max(n) - min(n) FROM c)""",
-    f"c AS (SELECT reordered AS label, count(*) AS n FROM (SELECT * FROM r_features {LABELLED}) GROUP BY reordered)"))
+    f"c AS (SELECT reordered AS label, count(*) AS n FROM r_features GROUP BY reordered)"))
 def q_smote_balance(spark, sf_dir):
     """I4: class counts before/after SMOTE (equal after)."""
-    rows = matrix(spark, sf_dir, training.BASE_FEATURES)
+    rows = training.training_matrix(features(spark, sf_dir), training.BASE_FEATURES)
     return balance.class_counts(balance.smote(rows, training.BASE_FEATURES, id_cols=tuple(KEYS)))
 
 
@@ -167,7 +156,9 @@ def fitted(spark, sf_dir, which):
         feats = training.BASE_FEATURES if which == "base" else training.BASE_FEATURES + training.ENHANCED_FEATURES
         data = balanced(spark, sf_dir, feats)
         model = training.train_gbt(data.where("is_train"), feats, **QUERY_GBT)
-        pred = materialize(training.predict(model, data.where(~F.col("is_train")), feats), f"pred-{which}")
+        # every line that the split holds out, not only those near the rows of the fit
+        held = training.split(matrix(spark, sf_dir, feats), keys=tuple(KEYS)).where(~F.col("is_train"))
+        pred = materialize(training.predict(model, held, feats), f"pred-{which}")
         _MEMO[key] = (model, feats, pred)
     return _MEMO[key]
 
@@ -242,10 +233,10 @@ def q_rf_random_search(spark, sf_dir):
 
 
 def model_scored_rows(spark, sf_dir):
-    """N3 with the enhanced model's probability on its test rows, features read from the row (Q13)."""
+    """N3 with the enhanced model's probability on every held-out line, features read from the row (Q13)."""
     _, _, pred = fitted(spark, sf_dir, "enhanced")
     return pred.select(
-        *KEYS, "synthetic_no", "label", F.col("score").alias("ml_probability"), "price", "basket_expansion_score",
+        *KEYS, "label", F.col("score").alias("ml_probability"), "price", "basket_expansion_score",
         "cross_sell_strength")
 
 
@@ -255,8 +246,8 @@ def q_performance_summary(spark, sf_dir):
     from cartwise.operators import recommend
 
     hy = recommend.hybrid_scores(model_scored_rows(spark, sf_dir))
-    rev = materialize(recommend.revenue_topk(hy, "ml_probability", 1000, ROW_KEYS).unionByName(
-        recommend.revenue_topk(hy, "hybrid_score", 1000, ROW_KEYS)), "model-revenue")
+    rev = materialize(recommend.revenue_topk(hy, "ml_probability", 1000, KEYS).unionByName(
+        recommend.revenue_topk(hy, "hybrid_score", 1000, KEYS)), "model-revenue")
     imp = recommend.revenue_impact(rev)
     comp = comparison(spark, sf_dir)
     pick = lambda df, key, col, val: df.where(F.col(key) == val).select(col).scalar()

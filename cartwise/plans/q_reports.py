@@ -12,17 +12,16 @@ from pyspark.sql import functions as F
 from cartwise.operators import training
 from cartwise.plans.oracle import round_cols, sql
 from cartwise.plans.q_features import EVAL_CTES, hybrid
-from cartwise.plans.q_models import _ALL_FEATURES, _ENH_CTES, LABELLED, matrix
+from cartwise.plans.q_models import _ALL_FEATURES, _ENH_CTES, matrix
 from cartwise.plans.registry import register
 
-SPREAD_CTES = _ENH_CTES + f""",
-r_lab AS (SELECT * FROM r_enh {LABELLED}),
+SPREAD_CTES = _ENH_CTES + """,
 r_imp AS (
 """ + "\n  UNION ALL ".join(
     f"SELECT '{c}' AS feature, coalesce(abs(avg(CASE WHEN reordered = 1 THEN coalesce({c}, 0)::DOUBLE END) "
     f"- avg(CASE WHEN reordered = 0 THEN coalesce({c}, 0)::DOUBLE END)) "
     f"/ nullif(max(coalesce({c}, 0)::DOUBLE) - min(coalesce({c}, 0)::DOUBLE), 0), 0.0) AS importance, "
-    f"'{'Enhanced' if c in training.ENHANCED_FEATURES else 'Traditional'}' AS category FROM r_lab"
+    f"'{'Enhanced' if c in training.ENHANCED_FEATURES else 'Traditional'}' AS category FROM r_enh"
     for c in _ALL_FEATURES) + ")"
 
 

@@ -70,7 +70,8 @@ def test_smote_with_both_classes_above_the_bound(spark):
     out = balance.smote(training.training_matrix(part, ["f"]), ["f"])
     got = {(r.label, r.is_synthetic): r.n for r in balance.class_counts(out).collect()}
     assert got == {(0, False): n[0], (1, False): n[1], (1, True): n[0] - n[1]}
-    same = training.training_matrix(training.labelled_rows(df, ["order_id", "product_id"], n=100), ["f"])
+    even = df.where("reordered = 1").limit(100).unionByName(df.where("reordered = 0").limit(100))
+    same = training.training_matrix(even, ["f"])
     got = {(r.label, r.is_synthetic): r.n for r in balance.class_counts(balance.smote(same, ["f"])).collect()}
     assert got == {(0, False): 100, (1, False): 100, (0, True): 0}
 
@@ -98,3 +99,50 @@ def test_neighbours_are_exact_for_large_offsets_and_many_blocks(spark):
     for block in (4096, 40):
         got = {(r.idx, r.rank, r.nb_idx) for r in balance.minority_neighbors(df, 5, block).collect()}
         assert got == expect
+
+
+def _nearest(x, k):
+    out = set()
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((np.arange(len(x)), d)) if j != i][:k]
+        out |= {(i, r + 1, int(j)) for r, j in enumerate(order)}
+    return out
+
+
+def test_copies_and_few_rows_have_all_their_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (400, 2)).astype(float)
+    x[:150] = [2.0, 2.0]  # a hot group of equal rows
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, x array<double>").repartition(5)
+    for block, pivots, bins in ((20, 4, 3), (4096, 16, 64), (3, 16, 64)):
+        got = {(r.idx, r.rank, r.nb_idx) for r in balance.minority_neighbors(df, 5, block, pivots, bins).collect()}
+        assert got == _nearest(x, 5)
+    few = {(r.idx, r.rank, r.nb_idx) for r in balance.minority_neighbors(df.where("idx in (1, 2, 300)"), 5).collect()}
+    assert {(i, j) for i, _, j in few} == {(i, j) for i in (1, 2, 300) for j in (1, 2, 300) if i != j}
+    assert balance.minority_neighbors(df.limit(0), 5).collect() == []
+
+
+def test_pivots_skip_most_pairs_of_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.exponential(1000, 4000), rng.standard_normal(4000) * 20, rng.integers(0, 24, 4000)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, x array<double>")
+    blocks = balance.Blocks(df, 4000, block_rows=50, pivots=8, bins=16)
+    inside = blocks.rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).groupBy("block", "slot").applyInArrow(
+        balance._nearest(5), balance._NEAR)
+    visits = blocks.visits(inside, 5)
+    slots = int(blocks.slots.sum())
+    assert slots > 60
+    # a row is compared with a small part of all slots, and no slot that holds a neighbour is left out
+    assert visits.count() < 0.2 * 4000 * slots
+    place = {r.idx: (r.block, r.slot) for r in blocks.rows.collect()}
+    seen = {(r.idx, r.block, r.slot) for r in visits.collect()}
+    for i, _, j in _nearest(x[:], 5):
+        assert place[i] == place[j] or (i, *place[j]) in seen
+
+
+def test_search_points_differ_to_the_trainer():
+    points = training.choose_param_maps(10)
+    assert len({(p["numTrees"], p["maxDepth"], training.least_rows(p)) for p in points}) == 10
+    assert training.least_rows({"minInstancesPerNode": 1, "min_samples_split": 10}) == 5
+    assert training.least_rows({"minInstancesPerNode": 4, "min_samples_split": 2}) == 4
