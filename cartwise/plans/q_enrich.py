@@ -8,7 +8,9 @@ from cartwise.operators import enrich, prep
 from cartwise.plans.oracle import round_cols, sql
 from cartwise.plans.q_prep import merged, tables
 from cartwise.plans.registry import register
+from cartwise.session import materialize, stage_folder
 from cartwise.sources import testdata
+from cartwise.sources.done_store import DoneStore
 
 
 def lit_sql(text: str) -> str:
@@ -137,9 +139,11 @@ def q_parse_price_reply(spark, sf_dir):
 SELECT product_id, product_name FROM r_products
 WHERE product_id NOT IN (SELECT product_id FROM r_pprice WHERE batch_id >= 2 AND price IS NOT NULL)""", ENRICH_CTES))
 def q_enrich_pending(spark, sf_dir):
-    """A4 + D12: products still to price after all but two batches were appended, one reply being short."""
-    done = enrich.priced(parsed_prices(spark, sf_dir)).where(F.col("batch_id") >= 2)
-    return enrich.pending(tables(spark, sf_dir)["products"].select("product_id", "product_name"), done)
+    """A4 + B1 + D12: products still to price after all but two batches were stored, one reply being short."""
+    done = enrich.priced(parsed_prices(spark, sf_dir)).where(F.col("batch_id") >= 2).select("product_id", "price")
+    store = DoneStore(spark, stage_folder(spark, "done-store"), done.schema)
+    store.append("all-but-two", materialize(done, "priced"))
+    return store.pending(tables(spark, sf_dir)["products"].select("product_id", "product_name"))
 
 
 def top_info(spark, sf_dir):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
-from cartwise.operators import expansion, graph, pairs
+from cartwise.operators import distinct, expansion, graph, pairs
 from cartwise.plans.oracle import _xavg, round_cols, sql
 from cartwise.plans.q_prep import imputed, merged
 from cartwise.plans.registry import register, stage
@@ -351,3 +352,18 @@ ORDER BY basket_expansion_score DESC, product_id LIMIT 5""", ["basket_expansion_
 def q_top_expansion_products(spark, sf_dir):
     """Five best products by expansion score (a top-k report)."""
     return expansion.top_products(scored(spark, sf_dir), 5)
+
+
+@register("activity_estimates", sql("""
+SELECT product_id, count(DISTINCT order_id) AS order_frequency, count(DISTINCT user_id) AS user_reach,
+       true AS orders_within, true AS users_within
+FROM r_merged GROUP BY product_id"""))
+def q_activity_estimates(spark, sf_dir):
+    """E1 from sketches per product and weekday: exact counts, and whether the estimates are within their bound."""
+    lines = merged(spark, sf_dir).select("product_id", "order_id", "user_id", "order_dow")
+    found = distinct.activity_estimates(distinct.activity_sketches(lines, "order_dow"))
+    exact = lines.groupBy("product_id").agg(*[F.count_distinct(c).alias(f"exact_{n}") for n, c in distinct.COUNTS.items()])
+    near = lambda n: F.abs(F.col(n) - F.col(f"exact_{n}")) <= distinct.BOUND * F.col(f"exact_{n}")
+    return exact.join(found, "product_id").select(
+        "product_id", F.col("exact_order_frequency").alias("order_frequency"), F.col("exact_user_reach").alias("user_reach"),
+        near("order_frequency").alias("orders_within"), near("user_reach").alias("users_within"))

@@ -76,7 +76,8 @@ def _shuffle_files_removed(spark: SparkSession):
                 spark.conf.set(_CLEAN_UP, held.pop())
 
 
-def _stage_path(spark: SparkSession, label: str) -> str:
+def stage_folder(spark: SparkSession, label: str) -> str:
+    """A new folder among the stages, deleted with them."""
     path = f"{ensure_checkpoint_dir(spark)}/cartwise-stage/{label}-{uuid.uuid4().hex}"
     _STAGES.append(path)
     return path
@@ -91,7 +92,7 @@ def materialize(df, label: str = "stage"):
     The shuffle files of the job that wrote a stage are removed as it ends, not
     when the driver happens to collect its garbage.
     """
-    return _written(df, _stage_path(df.sparkSession, label))
+    return _written(df, stage_folder(df.sparkSession, label))
 
 
 def _written(df, path: str):
@@ -109,7 +110,7 @@ class Rounds:
 
     def put(self, df):
         """Stage ``df``; what this makes too old is deleted."""
-        path = _stage_path(df.sparkSession, self.label)
+        path = stage_folder(df.sparkSession, self.label)
         out = _written(df, path)
         self.paths.append(path)
         while self.keep and len(self.paths) > self.keep:
@@ -131,7 +132,7 @@ class Bucketed:
     def __init__(self, df, key: str, label: str, buckets: int | None = None):
         spark = df.sparkSession
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name, self.path = f"cartwise_{label}_{uuid.uuid4().hex}", _stage_path(spark, label)
+        self.name, self.path = f"cartwise_{label}_{uuid.uuid4().hex}", stage_folder(spark, label)
         self.spark, self.buckets = spark, n
         with _shuffle_files_removed(spark):
             df.repartition(n, key).write.option("path", self.path).bucketBy(n, key).sortBy(key).saveAsTable(self.name)

@@ -13,20 +13,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwise.operators.enrich import parse_price_replies
-from cartwise.session import ensure_checkpoint_dir
+from cartwise.session import ensure_checkpoint_dir, materialize
 from cartwise.sources import schemas
+from cartwise.sources.done_store import DoneStore
 from cartwise.sources.sinks import append_table
 
 
 def ingest_price_replies(spark: SparkSession, reply_dir: str, members: DataFrame, out_path: str,
-                         checkpoint: str | None = None, fmt: str = "json"):
-    """Run the reply stream until the folder is drained; returns the finished query."""
+                         checkpoint: str | None = None, fmt: str = "json", store: DoneStore | None = None):
+    """Run the reply stream until the folder is drained; returns the finished query.
+
+    With ``store``, micro-batches are committed to it by their number instead
+    of being appended to ``out_path``: a replayed one stores nothing, and only
+    the buckets of its products are read.
+    """
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark)}/cartwise-streams/price-replies"
     stream = spark.readStream.schema(schemas.REPLIES).format(fmt).load(reply_dir)
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         parsed = parse_price_replies(batch.where("kind = 'price'").select("batch_id", "reply"), members)
-        append_table(parsed.where("price is not null"), out_path, key="product_id")
+        parsed = parsed.where("price is not null")
+        if store is not None:
+            store.append(f"replies-{epoch_id}", materialize(parsed, "replies"))
+        else:
+            append_table(parsed, out_path, key="product_id")
 
     q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
