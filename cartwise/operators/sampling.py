@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cartwise.functions.expr import SEED, unit_hash
 
-# Number of hash buckets used to find the cut of an exact-size sample.
+# Buckets of each half of the hash, used to find the cut of an exact-size sample.
 _BUCKETS = 1 << 16
 
 
@@ -30,29 +30,38 @@ def hash_sample_exact(
 ) -> DataFrame:
     """Exactly ``n`` (or round(fraction * count)) rows with the smallest key hash.
 
-    Distributed: a histogram of 65536 hash buckets (one small aggregate) gives
-    the bucket in which the cut falls; rows below it are kept by a filter and
-    only that one bucket (about count/65536 rows) is ordered to fill the rest.
-    Ties on the hash are broken by the key columns.
+    Distributed: the hash has 32 bits.  A histogram of its upper half (one
+    small aggregate) gives the bucket in which the cut falls, a histogram of
+    the lower half inside that bucket the very hash; rows below it are kept by
+    a filter.  Only rows of that one hash (about count / 2^32) are ordered,
+    by the key columns, to fill the rest.
     """
     h = unit_hash(*keys, seed=seed)
-    tagged = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") * _BUCKETS).cast("int"))
+    tagged = df.withColumn("_h", (h * float(_BUCKETS * _BUCKETS)).cast("long"))
     if n is None:
         total = tagged.count()
         n = _half_even(float(fraction) * total)
     if n <= 0:
         return df.limit(0)
-    hist = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # The histogram has at most 65536 rows: a single ordered window over it is bounded.
-    cum = hist.withColumn("_cum", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = cum.where(F.col("_cum") >= n).orderBy("_b").limit(1).collect()
-    if not cut:
+    high = _cut(tagged, F.shiftright("_h", 16), n)
+    if high is None:
         return df
-    cut_bucket, cut_cum, cut_n = cut[0]["_b"], cut[0]["_cum"], cut[0]["_n"]
-    need_in_cut = n - (cut_cum - cut_n)
-    below = tagged.where(F.col("_b") < cut_bucket)
-    edge = tagged.where(F.col("_b") == cut_bucket).orderBy("_h", *keys).limit(int(need_in_cut))
-    return below.unionByName(edge).drop("_h", "_b")
+    first, rest = high
+    low = _cut(tagged.where(F.shiftright("_h", 16) == first), F.col("_h").bitwiseAND(_BUCKETS - 1), rest)
+    at = first * _BUCKETS + low[0]
+    edge = tagged.where(F.col("_h") == at).orderBy(*keys).limit(int(low[1]))
+    return tagged.where(F.col("_h") < at).unionByName(edge).drop("_h")
+
+
+def _cut(rows: DataFrame, bucket, n: int) -> tuple[int, int] | None:
+    """(bucket, rows wanted of it) where the first ``n`` rows by bucket end; None if there are no more than ``n``.
+
+    There are at most 65536 buckets: a single ordered window over them is bounded.
+    """
+    hist = rows.groupBy(bucket.cast("long").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    cut = hist.withColumn("_upto", upto).where(F.col("_upto") >= n).orderBy("_b").limit(1).collect()
+    return (cut[0]["_b"], n - (cut[0]["_upto"] - cut[0]["_n"])) if cut else None
 
 
 def train_test_split(df: DataFrame, keys: list[str], test_size: float = 0.2, seed: int = SEED) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartwise.operators import evaluation, features, similarity
+from cartwise.operators import evaluation, features, similarity, text_factors
 from cartwise.plans.oracle import _xavg, r2, round_cols, sql
 from cartwise.plans.q_graph import PAIR_CTES, freq_pairs
 from cartwise.plans.q_prep import tables
@@ -57,6 +57,14 @@ def q_text_vectors(spark, sf_dir):
     return similarity.text_vectors(features.product_text(t["products"], t["departments"], t["aisles"]))
 
 
+@register("text_factors")
+def q_text_factors(spark, sf_dir):
+    """M5: dense vectors (64 wide) of the product text, factors of the product-term matrix."""
+    t = tables(spark, sf_dir)
+    text = features.product_text(t["products"], t["departments"], t["aisles"])
+    return text_factors.fit(text).transform(text)
+
+
 @register("pair_similarity", sql(round_cols("SELECT * FROM r_psim", ["similarity"]), SIM_CTES))
 def q_pair_similarity(spark, sf_dir):
     """D13 + J13: cosine of both members of each frequent pair."""
