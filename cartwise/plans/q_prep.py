@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from cartwise.operators import prep, sampling
 from cartwise.plans.oracle import h, round_cols, sql
 from cartwise.plans.registry import once, register, stage
+from cartwise.session import stage_folder
 from cartwise.sources import files, testdata
+from cartwise.streaming import features as stream_features
 
 MERGED_DOUBLES = ["days_since_prior_order", "price"]
 FEATURE_DOUBLES = MERGED_DOUBLES + [
@@ -118,6 +121,19 @@ def q_base_features(spark, sf_dir):
     return features(spark, sf_dir)
 
 
+@register("streamed_features", sql(round_cols(
+    f"SELECT * EXCLUDE ({', '.join(PRODUCT_TEXTS)}) FROM r_features", FEATURE_DOUBLES)))
+def q_streamed_features(spark, sf_dir):
+    """F1-F8 kept by a stream that gets the lines in two parts, some of them twice."""
+    lines = stage("lines", spark, sf_dir, lambda: merged(spark, sf_dir).drop(*PRODUCT_TEXTS))
+    lines = lines.withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("order_id", F.lit(3600))))
+    part, folder = F.pmod(F.xxhash64("order_id"), F.lit(4)), stage_folder(spark, "line-stream")
+    for mine in (part < 3, part > 1):
+        lines.where(mine).write.mode("append").parquet(f"{folder}/in")
+        stream_features.ingest_lines(spark, f"{folder}/in", f"{folder}/state", lines.schema)
+    return stream_features.current_features(spark, f"{folder}/state")
+
+
 _KEYS = ["order_id", "product_id"]
 
 
