@@ -253,7 +253,8 @@ def repeated_spans(base: DataFrame, span: int) -> DataFrame:
     paths = _paths(base, span)
     firsts = paths.groupBy("h1", "h2", "n").agg(F.min(here).alias("src"), F.count("*").alias("k"))
     gone = paths.join(firsts.where("k > 1").select("h1", "h2", "n", "src"), ["h1", "h2", "n"]).where(here != F.col("src"))
-    gone = gone.select("did", "dup", "start", "n", "src")
+    # a stage of its own: the paths' shuffle files go before minimizers and edges are shuffled
+    gone = materialize(gone.select("did", "dup", "start", "n", "src"), "repeated-paths")
 
     branching = _minimizers(base, span).groupBy("low").agg(
         F.min("path").alias("p1"), F.max("path").alias("p2"), F.max("twice").alias("twice"))
