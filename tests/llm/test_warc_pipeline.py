@@ -93,5 +93,5 @@ def test_pipeline_stages(spark):
 
 def test_registered_once_each():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.ORACLE) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLE) <= set(queries.QUERIES)
     assert os.path.exists("/opt/tokenizers")
