@@ -52,7 +52,7 @@ SMOOTH = 0.1
 HEAVY_WORDS = 200_000
 #: Distinct words that a task holds before it passes its counts on, and cuts that a worker remembers (twice).
 HELD_WORDS = 300_000
-HELD_CUTS = 250_000
+HELD_CUTS = 100_000
 
 
 class Cuts(dict):
@@ -144,20 +144,32 @@ def _log_softmax(z: np.ndarray, rows: np.ndarray, chosen: np.ndarray, probabilit
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], np.float32)
     if probabilities:
-        z /= total[:, None]
+        z *= (1 / total)[:, None]
     return picked - np.log(total)
 
 
+def _column_sums(x: np.ndarray) -> np.ndarray:
+    return np.ones(len(x), x.dtype) @ x
+
+
 def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """x @ w over the last axis, as one matrix product."""
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, start) of the windows over texts of these token counts; each token is scored in one window."""
-    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
+def _sums_by_key(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of the rows of each."""
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+
+
+def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of the windows over texts of these token counts; each token is new in one window."""
+    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
     text = np.repeat(np.arange(len(lengths)), n)
-    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stride
 
 
 class Model:
@@ -184,7 +196,8 @@ class Model:
     def forward(self, x: np.ndarray, first: int, training: bool = False) -> dict:
         """Hidden states and class scores at the positions from ``first`` on of the windows ``x`` (B, WINDOW)."""
         p = self.p
-        e = p["emb"][x] + p["pos"]
+        e = p["emb"].take(x, axis=0)
+        e += p["pos"]
         r = e[:, first:]
         q = _times(r, p["q"] * np.float32(1 / math.sqrt(DIM)))
         k, v = _times(e, p["k"]), _times(e, p["v"])
@@ -192,7 +205,7 @@ class Model:
         np.clip(s, -EXPONENT, EXPONENT, out=s)
         np.exp(s, out=s)
         s *= np.tri(WINDOW, dtype=np.float32)[first:]
-        weight = 1 / s.sum(axis=2, keepdims=True)
+        weight = 1 / _times(s, np.ones((WINDOW, 1), s.dtype))
         if training:
             s *= weight
             weight = np.float32(1)
@@ -210,21 +223,21 @@ class Model:
                 keep: np.ndarray | None = None) -> np.ndarray:
         """Log probability of each class after hidden state ``h`` and input ``last``: its group, then its member.
 
-        The previous input also votes for the group directly.  With ``grad``
-        the gradients of the loss over the rows with weight ``keep`` are put
-        there, that of ``h`` under "h".
+        The previous input also votes for the group directly, as counted.
+        With ``grad`` the gradients of the loss over the rows with weight
+        ``keep`` are put there, that of ``h`` under "h".
         """
         p = self.p
         group, member = np.divmod(cls, MEMBERS)
         at = np.arange(len(h))
         z = h @ p["out"]
         z += p["bias"]
-        z += p["pair"][last]
+        z += p["pair"].take(last, axis=0)
         out = _log_softmax(z, at, group, grad is not None)
         order = np.argsort(group.astype(np.uint8), kind="stable")
         ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
         ranges = [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
-        sorted_h, sorted_member = h[order], member[order]
+        sorted_h, sorted_member = h.take(order, axis=0), member[order]
         zm = np.empty((len(h), MEMBERS), dtype=h.dtype)
         for g, a, b in ranges:
             np.matmul(sorted_h[a:b], p["mout"][g], out=zm[a:b])
@@ -233,50 +246,72 @@ class Model:
         if grad is not None:
             z[at, group] -= 1
             z *= keep[:, None]
-            grad["out"], grad["bias"], grad["h"] = h.T @ z, z.sum(axis=0), z @ p["out"].T
-            grad["pair"] = np.zeros_like(p["pair"])
-            np.add.at(grad["pair"], last, z)
+            grad["out"], grad["bias"], grad["h"] = h.T @ z, _column_sums(z), z @ p["out"].T
             grad["mout"], grad["mbias"] = np.zeros_like(p["mout"]), np.zeros_like(p["mbias"])
             zm[at, sorted_member] -= 1
             zm *= keep[order][:, None]
             for g, a, b in ranges:
-                grad["mout"][g], grad["mbias"][g] = sorted_h[a:b].T @ zm[a:b], zm[a:b].sum(axis=0)
-                grad["h"][order[a:b]] += zm[a:b] @ p["mout"][g].T
+                np.matmul(sorted_h[a:b].T, zm[a:b], out=grad["mout"][g])
+                grad["mbias"][g] = _column_sums(zm[a:b])
+                np.matmul(zm[a:b], p["mout"][g].T, out=sorted_h[a:b])
+            back = np.empty_like(order)
+            back[order] = at
+            grad["h"] += sorted_h.take(back, axis=0)
         return out
 
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, state: dict, rate: float) -> float:
-        """One Adam step on windows ``x`` with class targets ``y`` where ``real``; the mean loss."""
+        """One Adam step on windows ``x`` with class targets ``y`` where ``real``; the mean loss.
+
+        Only the input vectors that occur move; what a previous input says
+        about the group is a count and does not.
+        """
         p, f = self.p, self.forward(x, 0, training=True)
         flat = lambda m: m.reshape(-1, m.shape[-1])
         keep = (real.reshape(-1) / max(1, real.sum())).astype(np.float32)
         g: dict[str, np.ndarray] = {}
         loss = -float(self.classes(flat(f["h2"]), x.reshape(-1), y.reshape(-1), g, keep) @ keep)
-        dh2 = g.pop("h").reshape(f["h2"].shape)
-        g["w2"] = flat(f["a"]).T @ flat(dh2)
-        da = (dh2 @ p["w2"].T) * (f["a"] > 0)
-        g["w1"], g["b1"] = flat(f["h1"]).T @ flat(da), flat(da).sum(axis=0)
-        dh1 = dh2 + da @ p["w1"].T
-        g["o"] = flat(f["c"]).T @ flat(dh1)
-        dc = dh1 @ p["o"].T
+        dh2 = g.pop("h")
+        g["w2"] = flat(f["a"]).T @ dh2
+        da = dh2 @ p["w2"].T
+        da *= flat(f["a"]) > 0
+        g["w1"], g["b1"] = flat(f["h1"]).T @ da, _column_sums(da)
+        dh1 = dh2
+        dh1 += da @ p["w1"].T
+        g["o"] = flat(f["c"]).T @ dh1
+        dc = (dh1 @ p["o"].T).reshape(f["c"].shape)
         dv = np.matmul(f["s"].transpose(0, 2, 1), dc)
         ds = np.matmul(dc, f["v"].transpose(0, 2, 1))
-        ds = f["s"] * (ds - (ds * f["s"]).sum(axis=2, keepdims=True)) * np.float32(1 / math.sqrt(DIM))
-        dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["e"] @ p["q"])
-        e = flat(f["e"])
-        g["q"], g["k"], g["v"] = e.T @ flat(dq), e.T @ flat(dk), e.T @ flat(dv)
-        de = dh1 + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        g["pos"] = de.sum(axis=0)
-        g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], x.reshape(-1), flat(de))
+        dc *= f["c"]
+        ds -= _times(dc, np.ones((DIM, 1), dc.dtype))
+        ds *= f["s"]
+        dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
+        dq *= np.float32(1 / math.sqrt(DIM))
+        e, de = flat(f["e"]), dh1
+        for name, d in (("q", flat(dq)), ("k", flat(dk)), ("v", flat(dv))):
+            g[name] = e.T @ d
+            de += d @ p[name].T
+        g["pos"] = de.reshape(f["e"].shape).sum(axis=0)
+        used, g["emb"] = _sums_by_key(x.reshape(-1), de)
         state["t"] = state.get("t", 0) + 1
+        fix = rate * math.sqrt(1 - 0.99 ** state["t"]) / (1 - 0.9 ** state["t"])
         for name, grad in g.items():
             m, v = state.setdefault(name, [np.zeros_like(p[name]), np.zeros_like(p[name])])
+            if name == "emb":
+                whole, m, v = (m, v), m.take(used, axis=0), v.take(used, axis=0)
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
-            fix = math.sqrt(1 - 0.99 ** state["t"]) / (1 - 0.9 ** state["t"])
-            p[name] -= (rate * fix * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+            change = (fix * m / (np.sqrt(v) + 1e-8)).astype(p[name].dtype)
+            if name == "emb":
+                whole[0][used], whole[1][used] = m, v
+                p[name][used] -= change
+            else:
+                p[name] -= change
         return loss
 
+    def trained(self) -> list[str]:
+        """Names of the weights that training moves."""
+        return sorted(self.p.keys() - {"pair"})
+
     def pair_counts(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """How often each group follows each input in texts with these ids."""
         inputs, classes, _ = self.lexicon.encode(ids, lengths)
@@ -293,10 +328,14 @@ class Model:
     def train(self, ids: np.ndarray, lengths: np.ndarray, shard: int, turn: int, rounds: int, passes: int) -> np.ndarray:
         """Train on the windows of a shard that are up in this round, and put the weights back.
 
-        Returns the number of windows, and it times the weights' changes (by name, one after the other).
+        The windows of a round lie side by side, so a token is learned once a
+        pass.  Returns the number of windows, and it times the weights'
+        changes (by name, one after the other).
         """
+        if not len(lengths):
+            return np.zeros(1 + sum(self.p[name].size for name in self.trained()))
         inputs, classes, offsets = self.lexicon.encode(ids, lengths)
-        text, start = windows(lengths)
+        text, start = windows(lengths, WINDOW)
         before, state = {name: p.copy() for name, p in self.p.items()}, {}
         order = np.random.default_rng([SEED, shard]).permutation(len(text))
         each = -(-len(text) * passes // rounds)
@@ -307,14 +346,14 @@ class Model:
             real = start[w][:, None] + np.arange(WINDOW) < lengths[text[w]][:, None]
             at = np.minimum(at, len(ids) - 1)
             self.step(inputs[at], classes[at], real, state, RATE * (1 - (turn + b / each) / rounds))
-        moved = [(self.p[name] - before[name]).ravel() for name in sorted(before)]
+        moved = [(self.p[name] - before[name]).ravel() for name in self.trained()]
         self.p = before
         return each * np.concatenate([[1.0], *moved])
 
     def move(self, total: np.ndarray) -> None:
         """Move the weights by the mean of the shards' changes."""
         at = 1
-        for name in sorted(self.p):
+        for name in self.trained():
             p = self.p[name]
             self.p[name] = p + (total[at : at + p.size].reshape(p.shape) / total[0]).astype(np.float32)
             at += p.size
@@ -378,8 +417,10 @@ def _ids(words: list[bytes], cuts: Cuts) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, held_out, text, and two hashes that tell unequal rows apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == TEST_FOLD).alias("held_out"), "text")
+    return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == TEST_FOLD).alias("held_out"), "text",
+                       F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text", "doc_id").alias("key2"))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -433,31 +474,42 @@ def id_counts(counts: DataFrame, vocabulary) -> np.ndarray:
 
 
 def shards(rows: DataFrame, vocabulary, n: int) -> DataFrame:
-    """shard, ids, lengths: the subword ids of all training texts, dealt over ``n`` shards by hash of the row."""
-    key = F.xxhash64("doc_id", "text")
-    dealt = rows.where("not held_out").select(key.alias("key"), F.pmod(key, F.lit(n)).cast("int").alias("shard"), "text")
+    """The subword ids of all texts, dealt over ``n`` shards by hash of the row.
+
+    One row a shard: shard, and one after the other its texts' ids, lengths,
+    held_out flags, key and key2.  Texts are cut here and nowhere else.
+    """
+    dealt = rows.select("key", "key2", F.pmod("key", F.lit(n)).cast("int").alias("shard"), "held_out", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = cuts_of(vocabulary.value)
         for b in batches:
-            for part in slices(b, 2):
-                words = [t.lower().split() for t in text_bytes(part.column(2))]
+            for part in slices(b, 4):
+                words = [t.lower().split() for t in text_bytes(part.column(4))]
                 cuts.learn(set().union(*words))
                 ids = pa.array([_ids(w, cuts).tobytes() for w in words], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], names=["key", "shard", "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], ids], names=["key", "key2", "shard", "held_out", "ids"])
 
     def pack(table: pa.Table) -> pa.Table:
-        texts = table.sort_by("key")["ids"].to_pylist()
-        lengths = np.array([len(t) // 2 for t in texts], dtype=np.int64)
-        return pa.table({"shard": table["shard"][:1], "ids": pa.array([b"".join(texts)], pa.binary()),
-                         "lengths": pa.array([lengths.tobytes()], pa.binary())})
+        table = table.sort_by([("key", "ascending"), ("key2", "ascending")])
+        texts = table["ids"].to_pylist()
+        columns = {"ids": b"".join(texts), "lengths": np.array([len(t) // 2 for t in texts], dtype=np.int64).tobytes(),
+                   "held": np.array(table["held_out"].to_pylist(), dtype=bool).tobytes(),
+                   "key": table["key"].to_numpy().tobytes(), "key2": table["key2"].to_numpy().tobytes()}
+        return pa.table({"shard": table["shard"][:1], **{k: pa.array([v], pa.binary()) for k, v in columns.items()}})
 
-    return dealt.mapInArrow(cut, "key long, shard int, ids binary").groupBy("shard").applyInArrow(
-        pack, "shard int, ids binary, lengths binary")
+    return dealt.mapInArrow(cut, "key long, key2 long, shard int, held_out boolean, ids binary").groupBy("shard").applyInArrow(
+        pack, "shard int, ids binary, lengths binary, held binary, key binary, key2 binary")
+
+
+def _training(ids: bytes, lengths: bytes, held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of the training texts of a shard."""
+    n, train = np.frombuffer(lengths, dtype=np.int64), ~np.frombuffer(held, dtype=bool)
+    return np.frombuffer(ids, dtype=np.uint16)[np.repeat(train, n)], n[train]
 
 
 def _summed(rows: DataFrame, of, label: str) -> np.ndarray:
-    """The sum of ``of(ids, lengths, shard)``, a vector, over all shards.
+    """The sum of ``of(ids, lengths, shard)``, a vector, over the training texts of all shards.
 
     Each task adds up its own shards and passes one vector on, in blocks; the
     blocks are added up on the executors, in the order of the tasks, and one
@@ -465,10 +517,12 @@ def _summed(rows: DataFrame, of, label: str) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _CUTS.clear()
         total = None
         for b in batches:
-            for shard, ids, lengths in zip(*(c.to_pylist() for c in b.columns)):
-                found = of(np.frombuffer(ids, dtype=np.uint16), np.frombuffer(lengths, dtype=np.int64), shard)
+            for k in range(b.num_rows):
+                shard, *texts = (c[k].as_py() for c in b.columns)
+                found = of(*_training(*texts), shard)
                 total = found if total is None else total + found
         if total is not None:
             parts = [p.tobytes() for p in np.array_split(total.astype(np.float64), BLOCKS)]
@@ -481,7 +535,7 @@ def _summed(rows: DataFrame, of, label: str) -> np.ndarray:
         total = sum(np.frombuffer(d.as_py()) for d in table.sort_by("task")["data"])
         return pa.table({"block": table["block"][:1], "data": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.mapInArrow(run, "block int, task int, data binary").groupBy("block").applyInArrow(
+    parts = rows.select("shard", "ids", "lengths", "held").mapInArrow(run, "block int, task int, data binary").groupBy("block").applyInArrow(
         add, "block int, data binary")
     found = materialize(parts, label).toArrow().sort_by("block")
     return np.frombuffer(b"".join(found["data"].to_pylist()))
@@ -489,18 +543,24 @@ def _summed(rows: DataFrame, of, label: str) -> np.ndarray:
 
 def fit(rows: DataFrame, counts: DataFrame, n_docs: int, vocabulary, shard_tokens: int = SHARD_TOKENS,
         rounds: int = ROUNDS) -> Model:
-    """Classes, what an id says about the next group, and weights, all from all training documents.
+    """Classes, what an id says about the next group, and weights, all from all training documents."""
+    return _fit(rows, counts, n_docs, vocabulary, shard_tokens, rounds)[0]
+
+
+def _fit(rows: DataFrame, counts: DataFrame, n_docs: int, vocabulary, shard_tokens: int,
+         rounds: int) -> tuple[Model, DataFrame]:
+    """The model and the shards.
 
     The weights are trained where the shards are; one vector of changes a round reaches the driver.
     """
     share = id_counts(counts, vocabulary)
     share[END] += n_docs
     model = Model(Lexicon(share, starts_word(cuts_of(vocabulary.value))))
+    texts = materialize(shards(rows, vocabulary, max(1, round(share.sum() / shard_tokens))), "lm-shards")
     if not n_docs:
-        return model
+        return model, texts
     context = rows.sparkSession.sparkContext
     lexicon = context.broadcast(model.lexicon)
-    texts = materialize(shards(rows, vocabulary, max(1, round(share.sum() / shard_tokens))), "lm-shards")
     model.set_pairs(_summed(texts, lambda ids, lengths, _: Model(lexicon.value).pair_counts(ids, lengths),
                             "lm-pairs"))
     passes = int(min(MOST_PASSES, max(1, -(-STEPS * BATCH * STRIDE // share.sum()))))
@@ -514,7 +574,24 @@ def fit(rows: DataFrame, counts: DataFrame, n_docs: int, vocabulary, shard_token
 
         model.move(_summed(texts, changes, "lm-changes"))
         weights.destroy()
-    return model
+    return model, texts
+
+
+def text_scores(texts: DataFrame, model) -> DataFrame:
+    """(key, key2, score) of the distinct rows whose texts are in these shards; log10 probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _CUTS.clear()
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, lengths, key, key2 = (c[k].as_py() for c in b.columns)
+                key, key2 = np.frombuffer(key, dtype=np.int64), np.frombuffer(key2, dtype=np.int64)
+                probs = model.value.log_probs(np.frombuffer(ids, dtype=np.uint16), np.frombuffer(lengths, dtype=np.int64))
+                new = np.append(True, (key[1:] != key[:-1]) | (key2[1:] != key2[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(key2[new]), pa.array(probs[new] / math.log(10))],
+                                                 names=["key", "key2", "score"])
+
+    return texts.select("ids", "lengths", "key", "key2").mapInArrow(run, "key long, key2 long, score double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -525,7 +602,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     Other columns are not read; no rows give no rows.  Words and their counts
     are gathered from all documents; the HEAVY_WORDS most frequent ones are
     looked up in a broadcast, so no hot word meets in one task, and the rest
-    is joined.
+    is joined.  Texts are cut to ids once, for training and scoring, and meet
+    their scores again by two 64-bit hashes of the row.
     """
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
@@ -535,51 +613,51 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     n_docs = rows.where("not held_out").count()
     known = counts.where("n_train > 0").agg(F.sum("n_train").alias("n"), F.count("*").alias("v")).first()
     n, v = (known["n"] or 0) + n_docs, known["v"] + (n_docs > 0)
-    model = spark.sparkContext.broadcast(fit(rows, counts, n_docs, ranks))
+    model, texts = _fit(rows, counts, n_docs, ranks, SHARD_TOKENS, ROUNDS)
+    scores = materialize(text_scores(texts, spark.sparkContext.broadcast(model)), "lm-scores")
     heavy_rows = counts.orderBy(F.desc("n_all"), "word").limit(HEAVY_WORDS)
     heavy_words = heavy_rows.select(F.encode("word", "UTF-8").alias("word"), "n_train").toArrow()
-    heavy = spark.sparkContext.broadcast(dict(zip(heavy_words["word"].to_pylist(), heavy_words["n_train"].to_pylist())))
     below = math.log10(n + SMOOTH * (v + 1))
+    unknown = math.log10(SMOOTH) - below
+    heavy = spark.sparkContext.broadcast({w: math.log10(c + SMOOTH) - below for w, c in zip(
+        heavy_words["word"].to_pylist(), heavy_words["n_train"].to_pylist())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, lm, top = cuts_of(ranks.value), model.value, heavy.value
-        logs = {w: math.log10(c + SMOOTH) - below for w, c in top.items()}
-        end = math.log10(n_docs + SMOOTH) - below
+        _CUTS.clear()
+        logs, end = heavy.value, math.log10(n_docs + SMOOTH) - below
         for b in batches:
-            for part in slices(b, 2):
-                n_tokens, n_known, base, others, times, ids = [], [], [], [], [], []
-                all_words = [t.lower().split() for t in text_bytes(part.column(2))]
-                cuts.learn(set().union(*all_words))
-                for words in all_words:
-                    ids.append(_ids(words, cuts))
+            for part in slices(b, 4):
+                n_tokens, n_known, base, others, times = [], [], [], [], []
+                for words in (t.lower().split() for t in text_bytes(part.column(4))):
                     n_tokens.append(len(words) + 1)
                     seen, total, rest = (1 if n_docs else 0), end, []
                     for w, k in Counter(words).items():
-                        if w in logs:
-                            total += k * logs[w]
-                            seen += k if top[w] else 0
-                        else:
+                        log = logs.get(w)
+                        if log is None:
                             rest.append((w.decode(), k))
+                        else:
+                            total += k * log
+                            seen += k if log > unknown else 0
                     n_known.append(seen)
                     base.append(total)
                     others.append([w for w, _ in rest])
                     times.append([k for _, k in rest])
-                probs = lm.log_probs(np.concatenate(ids), np.array([len(i) for i in ids]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                     pa.array(base, pa.float64()), pa.array(probs / math.log(10)),
-                     pa.array(others, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
-                    names=["doc_id", "held_out", "n_tokens", "top_known", "top_base", "score", "words", "times"])
-
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, top_known long, top_base double, "
-                                  "score double, words array<string>, times array<int>")
+                    [*part.columns[:4], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+                     pa.array(base, pa.float64()), pa.array(others, pa.list_(pa.string())),
+                     pa.array(times, pa.list_(pa.int32()))],
+                    names=["doc_id", "held_out", "key", "key2", "n_tokens", "top_known", "top_base", "words", "times"])
+
+    scored = rows.select("doc_id", "held_out", "key", "key2", "text").mapInArrow(
+        run, "doc_id long, held_out boolean, key long, key2 long, n_tokens long, top_known long, top_base double, "
+             "words array<string>, times array<int>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "row", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
     rest = rest.join(counts.select("word", "n_train"), "word").groupBy("row").agg(
         F.sum(F.when(F.col("n_train") > 0, F.col("k")).otherwise(F.lit(0))).alias("rest_known"),
         F.sum(F.col("k") * (F.log10(F.col("n_train") + F.lit(SMOOTH)) - F.lit(below))).alias("rest_base"))
-    return scored.drop("words", "times").join(rest, "row", "left").select(
+    return scored.drop("words", "times").join(rest, "row", "left").join(scores, ["key", "key2"]).select(
         "doc_id", "held_out", "n_tokens",
         (F.col("top_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
