@@ -6,9 +6,10 @@ of an item's ``q`` shingles the bottom-m by hash are kept.  Items are
 partitioned by size (powers of two of ``q``); ``m`` follows from the size, so
 that a document which holds the wanted share of the shingles holds at least
 one of the sketch: of ``q`` shingles ``q - ceil(t q)`` may be missing, and one
-more than that is looked for.  Documents with too few shingles for a
-partition skip it.  Candidates are verified by exact shingle containment on
-the words, so the result has neither misses nor false hits.
+more than that is looked for.  Only a sketch hash proposes an item, and not
+to documents with too few shingles for its partition.  Proposals are verified
+by exact shingle containment on the words, with all of the item's shingles,
+so the result has neither misses nor false hits.
 """
 
 from __future__ import annotations
@@ -36,74 +37,81 @@ def needed(q: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * q - 1e-9))
 
 
-def shingles(words: list[bytes], width: int) -> set[bytes]:
-    """Distinct shingles; fewer words than ``width`` are one shingle; no words have none."""
-    n = min(width, len(words))
-    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
-
-
 class Sketches:
-    """The items of one block: all shingles by hash, and the bottom-m sketch of each item."""
+    """The items of one block: the bottom-m sketch of each, by which they are proposed, and all shingles to verify."""
 
     def __init__(self, ids: list, texts: list[bytes], width: int, threshold: float):
-        self.ids, self.width = ids, width
-        self.sets, self.need, self.length = [], [], []
-        self.by_hash: dict[int, dict[int, list[tuple[int, bool]]]] = {}
-        partitions: dict[int, int] = {}
-        for i, text in enumerate(texts):
-            words = text.lower().split()
-            own = shingles(words, width)
-            n = min(width, len(words))
-            self.sets.append(own)
-            self.length.append(n)
+        self.ids, self.need = ids, []
+        #: All shingles of an item and their hashes, ascending; bound of its size partition.
+        self.strings: list[list[bytes]] = []
+        self.hashes: list[np.ndarray] = []
+        self.least: list[int] = []
+        w = Words(texts, lower=True)
+        lengths = np.minimum(np.diff(w.first), width)
+        grams = {n: gram_hash(w.hash, n) for n in set(lengths.tolist()) if n}
+        sketch: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for i, n in enumerate(lengths.tolist()):
+            a, b = int(w.first[i]), int(w.first[i + 1]) - n + 1
+            own = {w.span(p, p + n): p for p in range(a, b)} if n else {}
+            at = np.fromiter(own.values(), dtype=np.int64, count=len(own))
+            h = grams[n][at] if n else np.zeros(0, dtype=np.uint64)
+            order = np.argsort(h, kind="stable")
+            strings = list(own)
+            self.strings.append([strings[k] for k in order.tolist()])
+            self.hashes.append(h[order])
             self.need.append(needed(len(own), threshold))
-            if not own:
-                continue
-            part = len(own).bit_length()
-            least = needed(1 << (part - 1), threshold)
-            partitions[n] = min(partitions.get(n, least), least)
-            hashed = sorted((int(gram_hash(Words([s], lower=False).hash, n)[0]), s) for s in own)
-            bottom = len(own) - self.need[-1] + 1
-            for k, (h, _) in enumerate(hashed):
-                self.by_hash.setdefault(n, {}).setdefault(h, []).append((i, k < bottom))
-        #: Fewest shingles of a document that can hold an item, by shingle length.
-        self.least = partitions
-        self.filter = {n: self._filter(list(found)) for n, found in self.by_hash.items()}
+            self.least.append(needed(1 << max(0, len(own).bit_length() - 1), threshold))
+            if n:
+                sketch.setdefault(n, []).append((self.hashes[i][: len(own) - self.need[i] + 1], i))
+        #: By shingle length: the sketch hashes, ascending, the item of each, and a table of their low bits.
+        self.sketch = {n: self._index(found) for n, found in sketch.items()}
 
     @staticmethod
-    def _filter(hashes: list[int]) -> np.ndarray:
-        """A table of low hash bits that passes one in sixteen or fewer of other hashes."""
+    def _index(found: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The table passes one in sixteen or fewer of hashes that are in no sketch."""
+        hashes = np.concatenate([h for h, _ in found])
+        items = np.repeat([i for _, i in found], [len(h) for h, _ in found])
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
         bits = max(16, (16 * len(hashes)).bit_length())
         table = np.zeros(1 << bits, dtype=bool)
-        table[np.array(hashes, dtype=np.uint64) & np.uint64((1 << bits) - 1)] = True
-        return table
+        table[hashes & np.uint64((1 << bits) - 1)] = True
+        return hashes, items[order], table
+
+    def proposals(self, w: Words, n: int, g: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) that share a hash of the item's sketch, unless the text is too short for the item's partition."""
+        hashes, items, table = self.sketch[n]
+        at = np.flatnonzero(table[g & np.uint64(len(table) - 1)] & grams_inside(w.first, len(w.hash), n))
+        left, right = np.searchsorted(hashes, g[at], "left"), np.searchsorted(hashes, g[at], "right")
+        at, left, right = at[left < right], left[left < right], right[left < right]
+        owner = np.searchsorted(w.first, at, side="right") - 1
+        room = np.diff(w.first) - n + 1
+        return sorted({(d, i) for d, a, b in zip(owner.tolist(), left.tolist(), right.tolist())
+                       for i in items[a:b].tolist() if room[d] >= self.least[i]})
+
+    def found(self, w: Words, n: int, order: np.ndarray, sorted_g: np.ndarray, item: int) -> int:
+        """How many of an item's shingles a text holds, of which these are the places and hashes by hash."""
+        left = np.searchsorted(sorted_g, self.hashes[item], "left").tolist()
+        right = np.searchsorted(sorted_g, self.hashes[item], "right").tolist()
+        return sum(any(w.span(p, p + n) == s for p in order[a:b]) for s, a, b in zip(self.strings[item], left, right))
 
     def hits(self, texts: list[bytes]) -> list[list[tuple]]:
         """Per text: (item id, its shingles, those found) of the items that it holds."""
         out: list[list[tuple]] = [[] for _ in texts]
         w = Words(texts, lower=True)
-        lengths = np.diff(w.first)
-        for n, found in self.by_hash.items():
+        for n in self.sketch:
             g = gram_hash(w.hash, n)
             if not len(g):
                 continue
-            table = self.filter[n]
-            at = np.flatnonzero(table[g & np.uint64(len(table) - 1)] & grams_inside(w.first, len(w.hash), n))
-            owner = np.searchsorted(w.first, at, side="right") - 1
-            seen: dict[tuple[int, int], tuple[list[bool], set[bytes]]] = {}
-            for p, d in zip(at.tolist(), owner.tolist()):
-                entries = found.get(int(g[p]))
-                if entries is None or lengths[d] - n + 1 < self.least[n]:
-                    continue
-                shingle = w.span(p, p + n)
-                for item, in_sketch in entries:
-                    flag, strings = seen.setdefault((d, item), ([False], set()))
-                    flag[0] |= in_sketch
-                    if shingle in self.sets[item]:
-                        strings.add(shingle)
-            for (d, item), (flag, strings) in sorted(seen.items()):
-                if flag[0] and len(strings) >= self.need[item]:
-                    out[d].append((self.ids[item], len(self.sets[item]), len(strings)))
+            text = None
+            for d, item in self.proposals(w, n, g):
+                if d != text:
+                    text, a, b = d, int(w.first[d]), int(w.first[d + 1]) - n + 1
+                    order = np.argsort(g[a:b], kind="stable")
+                    sorted_g, order = g[a:b][order], order + a
+                found = self.found(w, n, order, sorted_g, item)
+                if found >= self.need[item]:
+                    out[d].append((self.ids[item], len(self.strings[item]), found))
         return out
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from cartwise.llm import decontaminate, substring_dedup
+from cartwise.llm.text import Words, gram_hash
 from helpers import docs, lower, words
 
 
@@ -86,3 +87,24 @@ def test_containment_against_sets(spark):
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(d) for d, _ in rows if str(d) not in dirty)
     assert decontaminate.contained_items(df, bench.limit(0)).count() == 0
     assert decontaminate.contained_items(df.limit(0), bench).count() == 0
+
+
+def test_only_sketches_propose_items():
+    rng = random.Random(8)
+    say = lambda n: [f"q{rng.randrange(400)}" for _ in range(n)]
+    items = [say(40) for _ in range(30)] + [say(9), say(200)]
+    texts = [say(50) + w + say(50) for w in items]  # the whole item
+    texts += [say(30) + w[: len(w) // 4] + say(30) for w in items]  # a quarter of it
+    texts += [items[31][:30]]
+    join = lambda rows: [" ".join(r).encode() for r in rows]
+    sketches = decontaminate.Sketches(list(range(len(items))), join(items), 5, 0.8)
+    w = Words(join(texts), lower=True)
+    proposed = sketches.proposals(w, 5, gram_hash(w.hash, 5))
+    grams = lambda v: {tuple(v[i : i + 5]) for i in range(len(v) - 4)}
+    share = {(d, i) for d, t in enumerate(texts) for i, v in enumerate(items) if grams(t) & grams(v)}
+    assert set(proposed) <= share and len(proposed) < 0.9 * len(share)
+    assert {(i, i) for i in range(len(items))} <= set(proposed)
+    assert (len(texts) - 1, 31) in share and (len(texts) - 1, 31) not in proposed  # too short for the item's partition
+    expect = [[(i, len(grams(v)), len(grams(v) & grams(t))) for i, v in enumerate(items)
+               if len(grams(v) & grams(t)) >= 0.8 * len(grams(v))] for t in texts]
+    assert sketches.hits(join(texts)) == expect
