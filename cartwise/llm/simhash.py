@@ -87,7 +87,9 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     visits the values one bit beside it outside the mask; two members within
     two bits meet at such a value, and each visitor is linked to the smallest
     visitor, which is within two bits and verified again.  So links differ in
-    number from all pairs, but not in what they connect.
+    number from all pairs, but not in what they connect.  With distance 1 a
+    member is linked to the fingerprints that stand at the values it visits;
+    with distance 0 distinct fingerprints have no links.
     """
     if distance > 2:
         raise ValueError("large blocks are resolved for distances up to 2")
@@ -112,6 +114,10 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         "mask", "fp", F.explode(F.element_at(outside, F.col("mask") + 1)).alias("flip")
     )
     visits = visits.select("mask", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    if distance == 1:
+        there = members.where(F.col("n") > DIRECT).select("mask", F.col("fp").alias("at"))
+        beside = visits.join(there, ["mask", "at"]).where(F.col("at") < F.col("fp"))
+        return pairs.unionByName(beside.select(F.col("at").alias("a"), F.col("fp").alias("b"))).distinct()
     least = visits.groupBy("mask", "at").agg(F.min("fp").alias("a"))
     stars = (
         visits.join(least, ["mask", "at"])

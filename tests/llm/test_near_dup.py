@@ -109,3 +109,16 @@ def test_embeddings_against_pairs(spark):
         assert sorted((str(r[0]), *r[1:]) for r in got) == expect
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
     assert embedding_dedup.near_duplicates(df.where("vec_id = 400")).count() == 1
+
+
+def test_large_block_at_smaller_distances(spark):
+    """At distance 1 and 0 a large block connects what all pairs connect, too."""
+    rng = random.Random(4)
+    fps = sorted(rng.sample(range(1 << 9), 260))  # dense: one block of each mask that spares the low bits
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    root = union_find(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 1])
+    links = simhash.fingerprint_links(frame, 1).collect()
+    assert len(fps) > 2 * simhash.DIRECT and all((r["a"] ^ r["b"]).bit_count() == 1 for r in links)
+    at = {f: i for i, f in enumerate(fps)}
+    assert union_find(len(fps), [(at[r["a"]], at[r["b"]]) for r in links]) == root
+    assert simhash.fingerprint_links(frame, 0).count() == 0
