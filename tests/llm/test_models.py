@@ -8,6 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 
 from cartwise.llm import lm, quality, secret_scan
+from cartwise.llm.text import Words, mix64
 from helpers import docs, lower, words
 
 SF = "/root/testdata/sf0.01"
@@ -23,6 +24,32 @@ def test_quality_held_out(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_quality_score_against_plain_loops():
+    """Features, their average and the softmax, one by one."""
+    texts = [t.encode() for t in ("the cat sat, the cat", "x", "", " \t\n", "ä日 ab\nab  ab", "long words " * 400)]
+
+    def buckets(text):
+        hashes = [Words([w], lower=False).hash for w in words(text.decode())]
+        out = [int(h[0]) % quality.BUCKETS for h in hashes]
+        out += [int(mix64(a ^ b)[0]) % quality.BUCKETS for a, b in zip(hashes, hashes[1:])]
+        for n in quality.GRAMS:
+            for i in range(len(text) - n + 1):
+                gram = int.from_bytes(text[i : i + n], "little") * (0x9E3779B1 + 2 * n) % (1 << 32)
+                out.append(gram * quality.BUCKETS >> 32)
+        return out
+
+    bucket, bounds = quality.features(texts)
+    for t, s, e in zip(texts, bounds, bounds[1:]):
+        assert Counter(bucket[s:e].tolist()) == Counter(buckets(t))
+    own = [np.unique(buckets(t), return_counts=True) for t in texts if buckets(t)]
+    model = quality.train([(b, c / c.sum()) for b, c in own], np.arange(len(own)) % 2, steps=30)
+    for t, got in zip(texts, model.scores(texts)):
+        found = buckets(t)
+        mean = sum((model.vectors[b].astype(float) for b in found), np.zeros(quality.DIM)) / max(1, len(found))
+        e = np.exp(mean @ model.weights + model.bias)
+        assert abs(got - e[1] / e.sum()) < 1e-6
+
+
 def test_quality_edge_cases(spark):
     rows = [(i, ("fine plain words again and so on " * 3) if i % 2 else "XX!! YY!! ZZ!! " * 5) for i in range(40)]
     rows += [(100, None), (101, ""), (None, "plain words"), (1, rows[1][1]), (102, "long " * 30000)]
