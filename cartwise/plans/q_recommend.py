@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from cartwise.functions.expr import unit_hash
 from cartwise.operators import recommend, sampling
 from cartwise.plans.oracle import h, round_cols, sql
-from cartwise.plans.q_graph import EXP_CTES, edges, merged, pair_lines, scored
-from cartwise.plans.q_prep import imputed
+from cartwise.plans.q_graph import EXP_CTES, edges, pair_lines, scored
+from cartwise.plans.q_prep import imputed, thin_imputed, thin_lines
 from cartwise.plans.registry import register, stage
 from cartwise.session import materialize
 
@@ -65,8 +65,8 @@ SELECT basket_id, CAST(row_number() OVER (PARTITION BY basket_id ORDER BY recomm
 FROM r_rec QUALIFY rank <= 5""", ["price", "recommendation_score", "network_strength"]), REC_CTES))
 def q_cross_sell_topn(spark, sf_dir):
     """N4 (flagship): top-5 cross-sell products for every order."""
-    return recommend.cross_sell(order_baskets(spark, sf_dir), edges(spark, sf_dir), product_feats(spark, sf_dir),
-                                TOP_N)
+    products = product_feats(spark, sf_dir)
+    return recommend.cross_sell(order_baskets(spark, sf_dir), edges(spark, sf_dir), products, TOP_N)
 
 
 @register("cross_sell_user_topn", sql(round_cols("""
@@ -79,9 +79,9 @@ FROM r_rec2 QUALIFY rank <= 5""", ["price", "recommendation_score", "network_str
     .replace("r_rec AS (", "r_rec2 AS (")))
 def q_cross_sell_user_topn(spark, sf_dir):
     """N5 for every user: basket = the user's first three products, then N4."""
-    first3 = recommend.first_items_per_user(merged(spark, sf_dir), 3)
-    baskets = first3.select(F.col("user_id").alias("basket_id"), "product_id")
-    return recommend.cross_sell(baskets, edges(spark, sf_dir), product_feats(spark, sf_dir), TOP_N)
+    first3 = recommend.first_items_per_user(thin_lines(spark, sf_dir), 3)
+    baskets, products = first3.select(F.col("user_id").alias("basket_id"), "product_id"), product_feats(spark, sf_dir)
+    return recommend.cross_sell(baskets, edges(spark, sf_dir), products, TOP_N)
 
 
 def scored_rows(spark, sf_dir):
@@ -90,7 +90,7 @@ def scored_rows(spark, sf_dir):
     ml_probability is a key hash (a model-free stand-in that SQL can replay);
     the model-backed version is ``model_scored_rows`` in q_models.
     """
-    lines = imputed(spark, sf_dir).select("order_id", "product_id", "reordered", "price")
+    lines = thin_imputed(spark, sf_dir).select("order_id", "product_id", "reordered", "price")
     lines = sampling.train_test_split(lines, ["order_id", "product_id"]).where(~F.col("is_train"))
     sp = scored(spark, sf_dir).select("product_id", "basket_expansion_score", "cross_sell_strength")
     return lines.join(sp, "product_id", "left").select(

@@ -51,3 +51,14 @@ def test_order_lines_shuffle_the_lines_twice(spark, tmp_path):
     # one scan for the lines, one for the keys of the orders that have any
     assert plan.count("l_partkey") and sum("Relation" in x and "l_orderkey" in x for x in plan.splitlines()) == 2
     assert "Aggregate [user_id" in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_basket_queries_merge_the_lines_once(spark, monkeypatch):
+    from cartwise.operators import prep
+    from cartwise.plans import registry
+
+    registry.load_all()
+    calls, merge = [], prep.merge_all
+    monkeypatch.setattr(prep, "merge_all", lambda tables: calls.append(1) or merge(tables))
+    assert registry.QUERIES["basket_metrics"](spark, "/root/testdata/sf0.001").count() > 100
+    assert len(calls) == 1
