@@ -131,3 +131,38 @@ def test_rounds_keep_the_newest_stages_and_tables_are_dropped(spark):
     before = {t.name for t in spark.catalog.listTables()}
     graph.centrality_table(_edges(spark, [(1, 2, 1), (2, 3, 4), (3, 4, 1)])).collect()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_pairs_of_lines_bucketed_by_order_shuffle_no_lines(spark):
+    from cartwise.session import Bucketed
+
+    lines = _lines(spark, [[1, 2, 3], [2, 3, 4], [5, 6]] * 40)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    table = Bucketed(lines, "order_id", "lines")
+    try:
+        got = pairs.basket_pairs(table.table)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+        assert got.count() == (3 + 3 + 1) * 40
+        assert not pairs.pruning_pays(table.table, 2)
+        assert pairs.pruning_pays(_lines(spark, [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(20)]), 2)
+    finally:
+        table.drop()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_late_pruning_equals_early_pruning_on_odd_lines(spark, monkeypatch):
+    # product 9 has one line beside a repeated one: the pair is met twice, the product is not
+    rows = [(1, 1, 1), (1, 1, 1), (1, 9, 2), (2, 1, 1), (2, 2, 2), (3, 1, 1), (3, 2, None), (4, 1, 1), (4, 2, 2),
+            (5, None, 1), (5, 1, 2), (6, None, 1), (6, 1, 2), (7, 2, 1), (7, 1, 1)]
+    lines = spark.createDataFrame(rows, "order_id bigint, product_id bigint, add_to_cart_order int")
+    for mode in ("directed", "canonical"):
+        for first in (None, 4):
+            got = []
+            for pays in (True, False):
+                monkeypatch.setattr(pairs, "pruning_pays", lambda *_, pays=pays: pays)
+                found = pairs.frequent_pairs(lines, 2, mode, max_orders=first)
+                got.append((found.columns, sorted(tuple(r) for r in found.collect())))
+            assert got[0] == got[1] and len(got[0][1]) == 1, got
