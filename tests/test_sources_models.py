@@ -53,3 +53,32 @@ def test_gbt_separable_auc_and_save_load(spark):
     assert [r.score for r in again.collect()] == probs
     imp = training.feature_importance(model, ["a", "b"]).collect()
     assert math.isclose(sum(r.importance for r in imp), 1.0)
+
+
+def test_base_model_reads_lines_without_the_graph(spark, monkeypatch):
+    from cartwise.operators import training
+    from cartwise.plans import q_models
+
+    rows = spark.range(6).selectExpr("id AS order_id", "id AS product_id", "CAST(id % 2 AS INT) AS reordered",
+                                     *[f"CAST(id AS DOUBLE) AS {c}" for c in training.BASE_FEATURES])
+    monkeypatch.setattr(q_models, "_MEMO", {})
+    monkeypatch.setattr(q_models, "_key", lambda name, *_: name)
+    monkeypatch.setattr(q_models, "features", lambda *_: rows)
+    monkeypatch.setattr(q_models, "enhanced", lambda *_: 1 / 0)
+    assert q_models.matrix(spark, "", training.BASE_FEATURES).count() == 6
+    done = rows.limit(4)
+    monkeypatch.setattr(q_models, "_MEMO", {"enhanced": done})
+    assert q_models.model_lines(spark, "", training.BASE_FEATURES) is done
+
+
+def test_centrality_measures_run_at_once(spark, monkeypatch):
+    import threading
+
+    from cartwise.operators import graph
+
+    both = threading.Barrier(2, timeout=30)
+    edges = spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "src bigint, dst bigint, weight bigint")
+    for name in ("betweenness", "pagerank"):
+        plain = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda *a, plain=plain, **k: (both.wait(), plain(*a, **k))[1])
+    assert {r.product_id: r.pagerank for r in graph.centrality_table(edges).collect()} == {1: 0.5, 2: 0.5}
