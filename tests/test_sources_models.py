@@ -65,7 +65,9 @@ def test_base_model_reads_lines_without_the_graph(spark, monkeypatch):
     monkeypatch.setattr(q_models, "_key", lambda name, *_: name)
     monkeypatch.setattr(q_models, "features", lambda *_: rows)
     monkeypatch.setattr(q_models, "enhanced", lambda *_: 1 / 0)
-    assert q_models.matrix(spark, "", training.BASE_FEATURES).count() == 6
+    # a product with two categories has its line twice, as in the enhanced lines
+    monkeypatch.setattr(q_models, "categories", lambda *_: spark.createDataFrame([(1,), (1,), (9,)], "product_id long"))
+    assert q_models.matrix(spark, "", training.BASE_FEATURES).count() == 7
     done = rows.limit(4)
     monkeypatch.setattr(q_models, "_MEMO", {"enhanced": done})
     assert q_models.model_lines(spark, "", training.BASE_FEATURES) is done
