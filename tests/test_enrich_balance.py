@@ -146,3 +146,35 @@ def test_search_points_differ_to_the_trainer():
     assert len({(p["numTrees"], p["maxDepth"], training.least_rows(p)) for p in points}) == 10
     assert training.least_rows({"minInstancesPerNode": 1, "min_samples_split": 10}) == 5
     assert training.least_rows({"minInstancesPerNode": 4, "min_samples_split": 2}) == 4
+
+
+def test_smote_rows_hash_once_and_lie_between_neighbours(spark):
+    from cartwise.functions.expr import SEED, unit_hash
+
+    df = spark.range(40).selectExpr("id AS row_id", "CAST(id AS DOUBLE) AS f", "CAST(id * id AS DOUBLE) AS g",
+                                    "IF(id < 10, 1, 0) AS label")
+    out = balance.smote(df, ["f", "g"], id_cols=("row_id",))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("zip_with") == 0
+    syn = out.where("is_synthetic").withColumn("u", unit_hash(F.lit("u"), "synthetic_no", seed=SEED)).collect()
+    ends = {(a, b): (float(a), float(b)) for a in range(10) for b in range(10) if a != b}
+    for r in syn:  # one u for both features: on the line between the same two rows
+        assert any(r.f == a + r.u * (b - a) and r.g == a * a + r.u * (b * b - a * a) for a, b in ends.values())
+    assert len(syn) == 20
+
+
+def test_labelled_share_is_hashed_once_and_whole_where_small(spark):
+    df = spark.range(400).selectExpr("id AS order_id", "id AS product_id", "CAST(id % 2 AS INT) AS reordered")
+    few = training.labelled_share(df, ["order_id", "product_id"], n=200)
+    assert few.count() == 400 and "md5" not in few._jdf.queryExecution().optimizedPlan().toString()
+    part = training.labelled_share(df, ["order_id", "product_id"], n=50)
+    plan = part._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < part.count() < 200 and "md5" not in plan
+
+
+def test_rows_of_a_large_fit_do_not_hang_on_their_order(spark):
+    rows = spark.range(1000).selectExpr("id AS order_id", "id % 7 AS product_id", "CAST(id AS DOUBLE) AS f")
+    dealt = [training.dealt_for_fit(r, ["order_id", "product_id"], training.DEALT_ROWS) for r in (rows, rows.orderBy(F.desc("f")).repartition(3))]
+    a, b = [d.withColumn("at", F.spark_partition_id()).collect() for d in dealt]
+    assert dealt[0].rdd.getNumPartitions() == training.FIT_FILES
+    assert a == b and len(a) == 1000
+    assert training.dealt_for_fit(rows, ["order_id"], training.DEALT_ROWS - 1) is rows
