@@ -8,7 +8,7 @@ from cartwise.functions.expr import unit_hash
 from cartwise.operators import recommend, sampling
 from cartwise.plans.oracle import h, round_cols, sql
 from cartwise.plans.q_graph import EXP_CTES, edges, pair_lines, scored
-from cartwise.plans.q_prep import imputed, thin_imputed, thin_lines
+from cartwise.plans.q_prep import imputed, score_imputed, thin_lines
 from cartwise.plans.registry import register, stage
 from cartwise.session import materialize
 
@@ -90,7 +90,7 @@ def scored_rows(spark, sf_dir):
     ml_probability is a key hash (a model-free stand-in that SQL can replay);
     the model-backed version is ``model_scored_rows`` in q_models.
     """
-    lines = thin_imputed(spark, sf_dir).select("order_id", "product_id", "reordered", "price")
+    lines = score_imputed(spark, sf_dir).select("order_id", "product_id", "reordered", "price")
     lines = sampling.train_test_split(lines, ["order_id", "product_id"]).where(~F.col("is_train"))
     sp = scored(spark, sf_dir).select("product_id", "basket_expansion_score", "cross_sell_strength")
     return lines.join(sp, "product_id", "left").select(

@@ -62,3 +62,30 @@ def test_basket_queries_merge_the_lines_once(spark, monkeypatch):
     monkeypatch.setattr(prep, "merge_all", lambda tables: calls.append(1) or merge(tables))
     assert registry.QUERIES["basket_metrics"](spark, "/root/testdata/sf0.001").count() > 100
     assert len(calls) == 1
+
+
+def test_orders_are_shuffled_once_by_user(spark, tmp_path):
+    d = str(tmp_path)
+    orders, _ = _write(spark, d)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = testdata._numbered_orders(spark, d)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # both windows by user on one shuffle, and one a side of the join by order
+        assert plan.count("Window [") == 2 and plan.count("Exchange hashpartitioning") == 3, plan
+        assert got.count() == len(orders) and got.columns == [*testdata.ORDER_COLUMNS, "is_last"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_score_queries_stage_no_more_columns_than_they_read(spark):
+    from cartwise import session
+    from cartwise.plans import registry
+    from cartwise.plans.q_prep import SCORE_COLUMNS
+
+    registry.load_all()
+    known = len(session._TABLES)
+    for name, rows in (("confusion_matrix", 2), ("roc_auc", 1)):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() == rows
+    made = [t.table.columns for t in session._TABLES[known:] if "lines" in t.name]
+    assert made == [SCORE_COLUMNS] * 2, made

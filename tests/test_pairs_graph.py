@@ -166,3 +166,13 @@ def test_late_pruning_equals_early_pruning_on_odd_lines(spark, monkeypatch):
                 found = pairs.frequent_pairs(lines, 2, mode, max_orders=first)
                 got.append((found.columns, sorted(tuple(r) for r in found.collect())))
             assert got[0] == got[1] and len(got[0][1]) == 1, got
+
+
+def test_late_pruning_counts_the_lines_before_it_looks_up_their_products(spark, monkeypatch):
+    lines, counted, count = _lines(spark, [[1, 2, 3], [2, 3, 4], [5, 6]] * 20), [], pairs.frequent_items
+    monkeypatch.setattr(pairs, "frequent_items", lambda df, n: counted.append(df) or count(df, n))
+    assert not pairs.pruning_pays(lines, 2)
+    got = {(r["p1"], r["p2"]): r["cnt"] for r in pairs.frequent_pairs(lines, 2).collect()}
+    assert got == {(1, 2): 20, (1, 3): 20, (2, 3): 40, (2, 4): 20, (3, 4): 20, (5, 6): 20}
+    plan = counted[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(counted) == 1 and "Join" not in plan, plan
