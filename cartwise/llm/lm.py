@@ -9,6 +9,7 @@ other classes the ids follow their share in all training documents.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from array import array
 from collections import Counter
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cartwise.llm.quality import fold
 from cartwise.llm.text import slices, text_bytes
-from cartwise.llm.token_counts import VOCABULARY, encoder
+from cartwise.llm.token_counts import VOCABULARY, encoder, forget_encoders
 from cartwise.session import materialize
 
 IDS = 50257
@@ -412,6 +413,16 @@ def cuts_of(vocabulary: bytes) -> Cuts:
     return _CUTS[key]
 
 
+def forget_cuts() -> None:
+    """Before a pass that cuts no texts: a worker drops its cuts and tokenizers and gives their memory back."""
+    _CUTS.clear()
+    forget_encoders()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim is not None:
+        trim(0)
+
+
 def _ids(words: list[bytes], cuts: Cuts) -> np.ndarray:
     return np.append(np.frombuffer(b"".join(map(cuts.__getitem__, words)), dtype=np.uint16), np.uint16(END))
 
@@ -432,7 +443,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         def out():
             words = list(train.keys() | test.keys())
             rows = pa.RecordBatch.from_pydict({
-                "word": pa.array([w.decode() for w in words], pa.string()),
+                "word": pa.array(words, pa.binary()).cast(pa.string()),
                 "n_train": pa.array([train[w] for w in words], pa.int64()),
                 "n_all": pa.array([train[w] + test[w] for w in words], pa.int64())})
             train.clear()
@@ -517,7 +528,7 @@ def _summed(rows: DataFrame, of, label: str) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _CUTS.clear()
+        forget_cuts()
         total = None
         for b in batches:
             for k in range(b.num_rows):
@@ -581,7 +592,7 @@ def text_scores(texts: DataFrame, model) -> DataFrame:
     """(key, key2, score) of the distinct rows whose texts are in these shards; log10 probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _CUTS.clear()
+        forget_cuts()
         for b in batches:
             for k in range(b.num_rows):
                 ids, lengths, key, key2 = (c[k].as_py() for c in b.columns)
@@ -623,7 +634,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         heavy_words["word"].to_pylist(), heavy_words["n_train"].to_pylist())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _CUTS.clear()
+        forget_cuts()
         logs, end = heavy.value, math.log10(n_docs + SMOOTH) - below
         for b in batches:
             for part in slices(b, 4):
@@ -634,7 +645,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                     for w, k in Counter(words).items():
                         log = logs.get(w)
                         if log is None:
-                            rest.append((w.decode(), k))
+                            rest.append((w, k))
                         else:
                             total += k * log
                             seen += k if log > unknown else 0
@@ -644,7 +655,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                     times.append([k for _, k in rest])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:4], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                     pa.array(base, pa.float64()), pa.array(others, pa.list_(pa.string())),
+                     pa.array(base, pa.float64()), pa.array(others, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
                      pa.array(times, pa.list_(pa.int32()))],
                     names=["doc_id", "held_out", "key", "key2", "n_tokens", "top_known", "top_base", "words", "times"])
 

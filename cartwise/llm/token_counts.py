@@ -32,6 +32,11 @@ def encoder(vocabulary: bytes):
     return _ENCODERS[key]
 
 
+def forget_encoders() -> None:
+    """Drop the tokenizers that this worker holds."""
+    _ENCODERS.clear()
+
+
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text",
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` and n_tokens, for each row of ``docs``; a null text has no tokens.

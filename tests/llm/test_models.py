@@ -227,3 +227,25 @@ def test_forest_reads_the_model(spark):
     model = RandomForestClassifier(numTrees=9, maxDepth=5, seed=1, featuresCol="x", labelCol="label").fit(df)
     votes = np.mean([[t.predict(r["x"]) for r in df.select("x").collect()] for t in model.trees], axis=0)
     assert np.allclose(secret_scan.Forest(model.toDebugString).scores(x), votes)
+
+
+def test_a_pass_that_cuts_nothing_drops_cuts_and_tokenizers(spark):
+    from cartwise.llm import token_counts
+
+    with open(token_counts.VOCABULARY, "rb") as f:
+        vocabulary = f.read()
+    texts = spark.createDataFrame([(i, f"Größe 東京 word{i} a a") for i in range(40)], "doc_id long, text string")
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            cuts = lm.cuts_of(vocabulary)
+            cuts.learn([b"word", "東京".encode()])
+            before = len(lm._CUTS) + len(token_counts._ENCODERS)
+            lm.forget_cuts()
+            yield pa.RecordBatch.from_pydict({"before": [before], "after": [len(lm._CUTS) + len(token_counts._ENCODERS)]})
+
+    assert {tuple(r) for r in texts.coalesce(1).mapInArrow(held, "before long, after long").collect()} == {(2, 0)}
+    counts = {r["word"]: r["n_all"] for r in lm.word_counts(lm._rows(texts, "doc_id", "text")).collect()}
+    assert counts == {"größe": 40, "東京": 40, "a": 80, **{f"word{i}": 1 for i in range(40)}}
