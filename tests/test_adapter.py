@@ -78,14 +78,23 @@ def test_orders_are_shuffled_once_by_user(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_score_queries_stage_no_more_columns_than_they_read(spark):
+def test_score_queries_stage_no_more_columns_than_they_read(spark, monkeypatch):
     from cartwise import session
-    from cartwise.plans import registry
-    from cartwise.plans.q_prep import SCORE_COLUMNS
-
-    registry.load_all()
+    from cartwise.plans import q_features, q_prep, registry
+
+    r = random.Random(5)
+    rows = [(p, o, o % 7, 1 + o // 7, o % 5, o % 24, None if o < 7 else 3.0, n, r.randrange(2), 1, 2, None if p == 4 else float(p))
+            for o in range(60) for n, p in enumerate(r.sample(range(1, 9), 3), 1)]
+    lines = spark.createDataFrame(rows, """product_id long, order_id long, user_id long, order_number int, order_dow int,
+        order_hour_of_day int, days_since_prior_order double, add_to_cart_order int, reordered int, aisle_id int,
+        department_id int, price double""").repartition(4, "order_id")
+    merged = []
+    monkeypatch.setattr(q_prep, "thin_merged", lambda *_: merged.append(1) or lines)
+    registry._SCOPE.append({})
     known = len(session._TABLES)
-    for name, rows in (("confusion_matrix", 2), ("roc_auc", 1)):
-        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() == rows
-    made = [t.table.columns for t in session._TABLES[known:] if "lines" in t.name]
-    assert made == [SCORE_COLUMNS] * 2, made
+    try:
+        got = q_features.eval_rows(spark, "own rows")
+        assert got.columns == ["label", "prediction", "score"] and 10 < got.count() < 100
+    finally:
+        registry._SCOPE.pop()
+    assert len(merged) == 1 and [t.table.columns for t in session._TABLES[known:]] == [q_prep.SCORE_COLUMNS]
