@@ -84,3 +84,21 @@ def test_centrality_measures_run_at_once(spark, monkeypatch):
         plain = getattr(graph, name)
         monkeypatch.setattr(graph, name, lambda *a, plain=plain, **k: (both.wait(), plain(*a, **k))[1])
     assert {r.product_id: r.pagerank for r in graph.centrality_table(edges).collect()} == {1: 0.5, 2: 0.5}
+
+
+def test_models_are_fitted_on_every_labelled_line(spark, monkeypatch):
+    from cartwise.plans import q_models
+
+    few = training.LABELLED_ROWS + 500
+    lines = spark.range(3 * few).selectExpr(
+        "id AS order_id", "id % 50 AS product_id", f"IF(id % 100 = 7 AND id > {2 * few}, NULL, IF(id < {few}, 1, 0)) AS reordered",
+        *[f"CAST(id % {7 + i} AS DOUBLE) AS {c}" for i, c in enumerate(training.BASE_FEATURES)])
+    monkeypatch.setattr(q_models, "_MEMO", {})
+    monkeypatch.setattr(q_models, "_key", lambda name, *_: name)
+    monkeypatch.setattr(q_models, "model_lines", lambda *_: lines)
+    got = q_models.balanced(spark, "", training.BASE_FEATURES)
+    n = {(r.label, r.is_synthetic): r["count"] for r in got.groupBy("label", "is_synthetic").count().collect()}
+    many = lines.where("reordered = 0").count()
+    # rows without a label are none of a fit; all others are there, however many a class has
+    assert many < 2 * few and n == {(1, False): few, (0, False): many, (1, True): many - few}
+    assert got.where("NOT is_synthetic").select("order_id").distinct().count() == few + many
